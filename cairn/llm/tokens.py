@@ -12,8 +12,8 @@ import re
 from functools import cache
 
 #: White space as the Unicode property White_Space has it (fixed values); Python's \s also has U+001C to U+001F.
-WHITE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
-STRETCH = re.compile(rf"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+STRETCH = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: Stretches that a worker remembers before it starts anew, and the longest that it remembers (bounded memory).
 KEPT, LONGEST = 250_000, 64
 
