@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a batch that goes to a Python worker. Texts of very different lengths share a batch, so few rows bound its memory.
+#: Rows of a batch that goes to a Python worker.
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -50,7 +50,8 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def batches(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """`rows` over each partition's Arrow batches."""
+    """`rows` over each partition's Arrow batches, which are kept small: texts differ much in length."""
+    df.sparkSession.conf.set(BATCH_ROWS, "4000")
     return df.mapInArrow(rows, schema)
 
 

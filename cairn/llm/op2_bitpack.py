@@ -10,7 +10,6 @@ ids its partition holds before it.
 from __future__ import annotations
 
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,8 +97,8 @@ def write_packed(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabu
             return pa.record_batch([pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([size], pa.int64()), pa.array([write_block(ids, width)], pa.binary())], names=["part", "part_start", "doc_ids", "n_ids", "block"])
 
         for whole in it:
-            for batch in slices(whole):
-                for key, got in zip(batch.column(0).to_pylist(), encoder(tokenizer).encode(batch.column(1).to_pylist()), strict=True):
+            for batch in slices(whole, 16 << 20):
+                for key, got in zip(batch.column(0).to_pylist(), encoder(tokenizer).encode(batch.column(1)), strict=True):
                     ids.append(got + end)
                     keys.append(key)
                     size += len(got) // 4 + 1
@@ -139,12 +138,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "packed")
     write_packed(documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, vocabulary=50_257)
 
-    def digest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            ids = batch.column(2).to_pylist()
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return batches(read_packed(spark, path), digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    ids = F.col("ids")
+    return read_packed(spark, path).select("doc_id", "start", (F.length(ids) / 4).cast("long").alias("n_tokens"), F.crc32(ids).alias("ids_crc32"))
 
 
 QUERIES = {"op2_bitpack": query}

@@ -144,7 +144,7 @@ def write_pieces(docs: DataFrame, path: str, tokenizer: str, end_id: int, sequen
 
         number = TaskContext.get().partitionId() << 33
         for whole in it:
-            for batch in slices(whole):
+            for batch in slices(whole, 16 << 20):
                 out: list[tuple] = []
                 for key, got in zip(batch.column(0).to_pylist(), encoder(tokenizer).encode(batch.column(1)), strict=True):
                     ids = got + end

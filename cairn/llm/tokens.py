@@ -9,13 +9,22 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
+from collections.abc import Set
 from functools import cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: White space as the Unicode property White_Space has it (fixed values); Python's \s also has U+001C to U+001F.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITES = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{WHITE}]", c))
 STRETCH = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-#: Stretches that a worker remembers before it starts anew, and the longest that it remembers (bounded memory).
-KEPT, LONGEST = 250_000, 64
+#: Stretches that a worker remembers before it lets go of those its last batch did not have, and the longest that it remembers (bounded memory).
+KEPT, LONGEST = 600_000, 64
+#: New stretches that go to the library in one text.
+TOGETHER = 1000
 
 
 class Encoder:
@@ -28,27 +37,75 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        #: How many bytes of the normalised text each token stands for: its alphabet has a character for each byte.
+        self.spans = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.spans[i] = len(token.removesuffix("</w>"))
+        self.drops_white = self.tokenizer.normalizer is not None
 
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        import numpy as np
+    def _sizes(self, new: list[str]) -> list[int]:
+        """Bytes of each stretch as the library normalises it."""
+        if self.drops_white:
+            new = [s[1:] if s.isascii() else unicodedata.normalize("NFC", s[1:]).lower() for s in new]
+        return [len(s) if s.isascii() else len(s.encode()) for s in new]
 
+    def _alone(self, new: list[str]) -> dict[str, bytes]:
         found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
         return {s: np.array(e.ids, "<u4").tobytes() for s, e in zip(new, found, strict=True)}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > KEPT:
-            known.clear()
-        out, cut = [], [STRETCH.findall(t) for t in texts]
-        new = {s for c in cut for s in c if s not in known}
-        long = {s for s in new if len(s) > LONGEST}
-        known.update(self._learn(list(new - long)))
-        rest = self._learn(list(long))
-        for c in cut:
-            if rest:
-                out.append(b"".join([known[s] if s in known else rest[s] for s in c]))
-            else:
-                out.append(b"".join(map(known.__getitem__, c)))
+    def _together(self, new: list[str]) -> dict[str, bytes]:
+        """As _alone, for stretches of one white character and what follows it; the library encodes them as one text, which is then cut by the bytes that tokens stand for."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(new)], add_special_tokens=False)[0].ids, "<u4")
+        ends, borders = np.cumsum(self.spans[ids]), np.cumsum(self._sizes(new))
+        cuts = np.searchsorted(ends, borders)
+        if not len(ids) or cuts[-1] != len(ids) - 1 or not np.array_equal(ends[cuts], borders):
+            return self._alone(new)
+        raw, cuts = ids.tobytes(), (4 * cuts + 4).tolist()
+        return {s: raw[a:b] for s, a, b in zip(new, [0, *cuts], cuts, strict=False)}
+
+    def _learn(self, new: Set[str]) -> dict[str, bytes]:
+        plain = [s for s in new if len(s) > 1 and s[0] in " \n" and s[1] not in WHITES]
+        out = self._alone(list(new - set(plain)))
+        for at in range(0, len(plain), TOGETHER):
+            out.update(self._together(plain[at : at + TOGETHER]))
+        return out
+
+    def _meet(self, met: list[str]) -> list[bytes]:
+        """The ids of each of `met`, which are all different."""
+        if len(self.known) > KEPT:
+            self.known = {s: self.known[s] for s in met if s in self.known}
+        ids = list(map(self.known.get, met))
+        if new := {s: i for i, (s, x) in enumerate(zip(met, ids, strict=True)) if x is None}:
+            learned = self._learn(new.keys())
+            for s, x in learned.items():
+                ids[new[s]] = x
+            self.known.update(learned if max(map(len, new)) <= LONGEST else {s: x for s, x in learned.items() if len(s) <= LONGEST})
+        return ids
+
+    def _one(self, text: str) -> bytes:
+        cut = STRETCH.findall(text)
+        met = list(set(cut))
+        return b"".join(map(dict(zip(met, self._meet(met), strict=True)).__getitem__, cut))
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Arrow splits the texts before each space and line feed and numbers what comes of it, so Python meets each stretch
+        once a batch. A part that ends in white space would split a run of it: texts with such parts are done by STRETCH."""
+        marked = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n")
+        parts = pc.split_pattern(marked, "\0")
+        ends, numbered = parts.offsets.to_numpy() - parts.offsets[0].as_py(), parts.flatten().dictionary_encode()
+        codes, met = numbered.indices.to_numpy(), numbered.dictionary.to_pylist()
+        odd = np.array([s[-1:] in WHITES for s in met], bool)
+        ids = self._meet(met)
+        sizes = np.array([len(x) // 4 for x in ids], np.int64)
+        pool, starts = np.frombuffer(b"".join(ids), "<u4"), np.concatenate([[0], np.cumsum(sizes)])[:-1]
+        each = sizes[codes]
+        total = np.concatenate([[0], np.cumsum(each)])
+        raw = pool[np.repeat(starts[codes] - total[:-1], each) + np.arange(total[-1])].tobytes()
+        cuts = (4 * total[ends]).tolist()
+        out = [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        again = {*np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(odd[codes])])[ends])).tolist(), *pc.indices_nonzero(pc.match_substring(texts, "\0")).to_pylist()}
+        for i in again:
+            out[i] = self._one(texts[i].as_py())
         return out
 
 
