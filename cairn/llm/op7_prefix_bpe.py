@@ -10,18 +10,17 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+import struct
+from collections.abc import Iterator, Set
 from functools import cache
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm.common import batches, documents, slices, texts
-
-#: Matches that a worker remembers before it starts anew, and the longest that it remembers (bounded memory).
-KEPT, LONGEST = 400_000, 64
-
+from cairn.llm.tokens import Remembering
 
 class PrefixBPE:
     """The vocabulary of a rank file: `ranks` maps each token's bytes to its id, which is also its rank.
@@ -31,7 +30,6 @@ class PrefixBPE:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.decimal = {i: str(i) for i in self.bytes_of}
         self.longest = max(map(len, ranks))
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.follows: dict[tuple[int, int], bool] = {}
@@ -70,7 +68,7 @@ class PrefixBPE:
                 before, a = a, undo_a[1]
             else:
                 before, b = b + 1, undo_b[0]  # of equal merges the one further left comes first
-        if len(self.follows) > 2_000_000:
+        if len(self.follows) > 200_000:
             self.follows.clear()
         self.follows[left, right] = found
         return found
@@ -125,43 +123,43 @@ class PrefixBPE:
         return b"".join(map(self.bytes_of.__getitem__, tokens))
 
 
-class Texts:
-    """Whole texts: each match of the pattern is encoded by itself, and matches met before are remembered."""
+class PrefixEncoder(Remembering):
+    """Whole texts, each match of the pattern by itself."""
 
-    def __init__(self, bpe: PrefixBPE, pattern: str):
+    def __init__(self, path: str, pattern: str):
         import regex
 
-        self.bpe, self.cut, self.known = bpe, regex.compile(pattern), {}
+        super().__init__(kept=200_000)
+        self.bpe, self.cut = PrefixBPE.from_file(path), regex.compile(pattern)
+        size = max(self.bpe.bytes_of) + 1
+        self.decimals, self.bytes = pa.array([str(i) for i in range(size)]), pa.array([self.bpe.bytes_of.get(i, b"") for i in range(size)], pa.binary())
 
-    def encode(self, text: str) -> list[int]:
-        known, bpe = self.known, self.bpe
-        if len(known) > KEPT:
-            known.clear()
-        pieces, found = self.cut.findall(text), {}
-        for piece in set(pieces).difference(known):
-            found[piece] = bpe.tokens(bpe.table(piece.encode()))
-        if any(len(p) > LONGEST for p in found):
-            return list(chain.from_iterable([known[p] if p in known else found[p] for p in pieces]))
-        known.update(found)
-        return list(chain.from_iterable(map(known.__getitem__, pieces)))
+    def learn(self, new: Set[str]) -> dict[str, bytes]:
+        table, tokens, cut = self.bpe.table, self.bpe.tokens, self.cut.findall
+        return {s: struct.pack(f"<{len(ids)}I", *ids) for s in new for ids in ([t for m in cut(s) for t in tokens(table(m.encode()))],)}
+
+    def joined(self, ids: list[bytes], words: pa.Array, between) -> list:
+        """For each text's ids, what `words` has for them, joined."""
+        ends = np.cumsum([0] + [len(x) // 4 for x in ids])
+        flat = words.take(pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        return pc.binary_join(pa.LargeListArray.from_arrays(ends, flat) if len(flat) > 1 << 30 else pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), between).to_pylist()
 
 
 @cache
-def encoder(path: str, pattern: str) -> Texts:
+def encoder(path: str, pattern: str) -> PrefixEncoder:
     """This worker's encoder of the file; it lives as long as the worker."""
-    return Texts(PrefixBPE.from_file(path), pattern)
+    return PrefixEncoder(path, pattern)
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """doc_id, ids array<int> of each row's whole text (null: empty). Order, ties, repeated rows: a row for each row."""
+    """doc_id, ids (little-endian unsigned 32-bit) of each row's whole text (null: empty). Each row has a row, repeated ones too."""
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
-            for batch in slices(whole):
-                ids = [encoder(ranks, pattern).encode(t) for t in batch.column(1).to_pylist()]
-                yield pa.record_batch([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            for batch in slices(whole, 8 << 20):
+                yield pa.record_batch([batch.column(0), pa.array(encoder(ranks, pattern).encode(batch.column(1)), pa.binary())], names=["doc_id", "ids"])
 
-    return batches(texts(docs), rows, "doc_id long, ids array<int>")
+    return batches(texts(docs), rows, "doc_id long, ids binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,12 +169,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
     def digests(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(ranks, pattern).bpe
-        sha = lambda data: hashlib.sha256(data).hexdigest()
+        own = encoder(ranks, pattern)
         for whole in it:
             for batch in slices(whole):
                 ids = batch.column(1).to_pylist()
-                yield pa.record_batch([batch.column(0), pa.array(map(len, ids), pa.int64()), pa.array([sha(",".join(map(bpe.decimal.__getitem__, x)).encode()) for x in ids]), pa.array([sha(bpe.decode(x)) for x in ids])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                listed = [hashlib.sha256(x.encode()).hexdigest() for x in own.joined(ids, own.decimals, ",")]
+                decoded = [hashlib.sha256(x).hexdigest() for x in own.joined(ids, own.bytes, b"")]
+                yield pa.record_batch([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(listed, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return batches(encode(documents(spark, sf_dir), ranks, pattern), digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

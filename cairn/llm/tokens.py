@@ -1,8 +1,8 @@
-"""Encoding whole texts with the tokenizers library, one distinct stretch between white space at a time.
+"""Encoding whole texts, one distinct stretch between white space at a time.
 
-Both vocabularies' pre-tokenizers decide where to split by looking at white space and what touches it, so a text cut
+The pre-tokenizers of these vocabularies decide where to split by looking at white space and what touches it, so a text cut
 before a run of white space that follows something else has the ids of its parts, in order. Most stretches come again and
-again: a worker keeps the ids of those it has met (a bounded number of them) and gives the library the new ones only.
+again: a worker keeps the ids of those it has met (a bounded number of them) and encodes the new ones only.
 """
 
 from __future__ import annotations
@@ -22,61 +22,27 @@ WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u300
 WHITES = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{WHITE}]", c))
 STRETCH = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: Stretches that a worker remembers before it lets go of those its last batch did not have, and the longest that it remembers (bounded memory).
-KEPT, LONGEST = 600_000, 64
+KEPT, LONGEST = 500_000, 64
 #: New stretches that go to the library in one text.
 TOGETHER = 1000
 
 
-class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes, by a file of the tokenizers library."""
+class Remembering:
+    """Ids of whole texts as little-endian unsigned 32-bit bytes; what a stretch encodes to is left to `learn`."""
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        #: How many bytes of the normalised text each token stands for: its alphabet has a character for each byte.
-        self.spans = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.spans[i] = len(token.removesuffix("</w>"))
-        self.drops_white = self.tokenizer.normalizer is not None
-
-    def _sizes(self, new: list[str]) -> list[int]:
-        """Bytes of each stretch as the library normalises it."""
-        if self.drops_white:
-            new = [s[1:] if s.isascii() else unicodedata.normalize("NFC", s[1:]).lower() for s in new]
-        return [len(s) if s.isascii() else len(s.encode()) for s in new]
-
-    def _alone(self, new: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        return {s: np.array(e.ids, "<u4").tobytes() for s, e in zip(new, found, strict=True)}
+    def __init__(self, kept: int = KEPT):
+        self.kept, self.known = kept, {}
 
-    def _together(self, new: list[str]) -> dict[str, bytes]:
-        """As _alone, for stretches of one white character and what follows it; the library encodes them as one text, which is then cut by the bytes that tokens stand for."""
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(new)], add_special_tokens=False)[0].ids, "<u4")
-        ends, borders = np.cumsum(self.spans[ids]), np.cumsum(self._sizes(new))
-        cuts = np.searchsorted(ends, borders)
-        if not len(ids) or cuts[-1] != len(ids) - 1 or not np.array_equal(ends[cuts], borders):
-            return self._alone(new)
-        raw, cuts = ids.tobytes(), (4 * cuts + 4).tolist()
-        return {s: raw[a:b] for s, a, b in zip(new, [0, *cuts], cuts, strict=False)}
-
-    def _learn(self, new: Set[str]) -> dict[str, bytes]:
-        plain = [s for s in new if len(s) > 1 and s[0] in " \n" and s[1] not in WHITES]
-        out = self._alone(list(new - set(plain)))
-        for at in range(0, len(plain), TOGETHER):
-            out.update(self._together(plain[at : at + TOGETHER]))
-        return out
+    def learn(self, new: Set[str]) -> dict[str, bytes]:
+        raise NotImplementedError
 
     def _meet(self, met: list[str]) -> list[bytes]:
         """The ids of each of `met`, which are all different."""
-        if len(self.known) > KEPT:
+        if len(self.known) > self.kept:
             self.known = {s: self.known[s] for s in met if s in self.known}
         ids = list(map(self.known.get, met))
         if new := {s: i for i, (s, x) in enumerate(zip(met, ids, strict=True)) if x is None}:
-            learned = self._learn(new.keys())
+            learned = self.learn(new.keys())
             for s, x in learned.items():
                 ids[new[s]] = x
             self.known.update(learned if max(map(len, new)) <= LONGEST else {s: x for s, x in learned.items() if len(s) <= LONGEST})
@@ -109,6 +75,50 @@ class Encoder:
         return out
 
 
+class Encoder(Remembering):
+    """By a file of the tokenizers library."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        #: How many bytes of the normalised text each token stands for: its alphabet has a character for each byte.
+        self.spans = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.spans[i] = len(token.removesuffix("</w>"))
+        self.drops_white = self.tokenizer.normalizer is not None
+
+    def _sizes(self, new: list[str]) -> list[int]:
+        """Bytes of each stretch as the library normalises it."""
+        if self.drops_white:
+            new = [s[1:] if s.isascii() else unicodedata.normalize("NFC", s[1:]).lower() for s in new]
+        return [len(s) if s.isascii() else len(s.encode()) for s in new]
+
+    def _alone(self, new: list[str]) -> dict[str, bytes]:
+        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+        return {s: np.array(e.ids, "<u4").tobytes() for s, e in zip(new, found, strict=True)}
+
+    def _together(self, new: list[str]) -> dict[str, bytes]:
+        """As _alone, for stretches of one white character and what follows it; the library encodes them as one text, which is then cut by the bytes that tokens stand for."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(new)], add_special_tokens=False)[0].ids, "<u4")
+        ends, borders = np.cumsum(self.spans[ids]), np.cumsum(self._sizes(new))
+        cuts = np.searchsorted(ends, borders)
+        if not len(ids) or cuts[-1] != len(ids) - 1 or not np.array_equal(ends[cuts], borders):
+            return self._alone(new)
+        raw, cuts = ids.tobytes(), (4 * cuts + 4).tolist()
+        return {s: raw[a:b] for s, a, b in zip(new, [0, *cuts], cuts, strict=False)}
+
+    def learn(self, new: Set[str]) -> dict[str, bytes]:
+        plain = [s for s in new if len(s) > 1 and s[0] in " \n" and s[1] not in WHITES]
+        out = self._alone(list(new - set(plain)))
+        for at in range(0, len(plain), TOGETHER):
+            out.update(self._together(plain[at : at + TOGETHER]))
+        return out
+
+
 @cache
 def encoder(path: str) -> Encoder:
     """This worker's encoder of the file; it lives as long as the worker."""
