@@ -49,6 +49,11 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
+def ddl(docs: DataFrame, names: list[str]) -> str:
+    """The columns `names` as they stand in a schema's text."""
+    return "".join(f", `{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
+
+
 def batches(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """`rows` over each partition's Arrow batches, which are kept small: texts differ much in length."""
     df.sparkSession.conf.set(BATCH_ROWS, "4000")

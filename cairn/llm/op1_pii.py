@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import batches, documents, slices, texts
+from cairn.llm.common import batches, ddl, documents, slices, texts
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -245,8 +245,10 @@ def redact(text: str, spans: list[tuple[str, int, int, bool]]) -> str:
 SPANS = "array<struct<kind: string, start: int, end: int, base: boolean>>"
 
 
-def annotate(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, spans, redacted for each row; a null text is empty, a null doc_id stays, repeated rows have a row each, other columns are ignored."""
+def annotate(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, spans, redacted for each row, and the columns `keep` as they are; others are ignored. A null text is empty, a
+    null doc_id stays, repeated rows have a row each."""
+    names = ["doc_id", "spans", "redacted", *keep]
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
@@ -254,9 +256,9 @@ def annotate(docs: DataFrame, model: Model) -> DataFrame:
             for batch in slices(whole):
                 got = batch.column(1).to_pylist()
                 spans = [find(t, model) for t in got]
-                yield pa.record_batch([batch.column(0), pa.array([[dict(zip(("kind", "start", "end", "base"), s, strict=True)) for s in x] for x in spans], kind), pa.array([redact(t, x) for t, x in zip(got, spans, strict=True)], pa.string())], names=["doc_id", "spans", "redacted"])
+                yield pa.record_batch([batch.column(0), pa.array([[dict(zip(("kind", "start", "end", "base"), s, strict=True)) for s in x] for x in spans], kind), pa.array([redact(t, x) for t, x in zip(got, spans, strict=True)], pa.string()), *batch.columns[2:]], names=names)
 
-    return batches(texts(docs), rows, f"doc_id long, spans {SPANS}, redacted string")
+    return batches(texts(docs, *keep), rows, f"doc_id long, spans {SPANS}, redacted string" + ddl(docs, list(keep)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

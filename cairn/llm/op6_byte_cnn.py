@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import batches, documents, slices
+from cairn.llm.common import batches, ddl, documents, slices
 
 WIDTHS, FILTERS, EMBEDDED, WINDOW = (2, 3, 4), 12, 6, 256
 WIDEST = max(WIDTHS)
@@ -153,16 +153,19 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) ->
     return train(sorted(map(tuple, sample.collect())))
 
 
-def identify(docs: DataFrame, net: Net) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for each row of `docs`, repeated ones and null ids included; other columns are ignored."""
+def identify(docs: DataFrame, net: Net, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, lang_pred, score for each row of `docs`, repeated ones and null ids included, and the columns `keep`
+    as they are; others are ignored."""
+    names = ["doc_id", "held_out", "lang_pred", "score", *keep]
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
             for batch in slices(whole):
                 lang, score = predict(net, batch.column(2).to_pylist())
-                yield pa.record_batch([*batch.columns[:2], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+                yield pa.record_batch([*batch.columns[:2], pa.array(lang, pa.string()), pa.array(score, pa.float64()), *batch.columns[3:]], names=names)
 
-    return batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text")), rows, "doc_id long, held_out boolean, lang_pred string, score double")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("__text"), *keep)
+    return batches(read, rows, "doc_id long, held_out boolean, lang_pred string, score double" + ddl(docs, list(keep)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
