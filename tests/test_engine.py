@@ -1,0 +1,156 @@
+"""SELECT over small tables, nulls included."""
+
+from __future__ import annotations
+
+import math
+
+import pytest
+from pyspark.sql import types as T
+
+from cairn.engine import Created, Engine, Inserted
+from cairn.errors import BindError
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_star_expands_in_from_order(engine):
+    df = engine.sql("SELECT * FROM users JOIN orders ON users.id = orders.user_id")
+    assert df.columns == ["id", "name", "id_1", "user_id"]
+    assert rows(df) == [(1, "alice", 10, 1), (1, "alice", 11, 1), (2, "bob", 12, 2)]
+
+
+def test_output_names(engine):
+    df = engine.sql("SELECT id, id + 1, id AS n, name FROM users")
+    assert df.columns == ["id", "_c1", "n", "name"]
+    assert engine.sql("SELECT COUNT(*), COUNT(id), MAX(id) FROM users").columns == ["count", "count_1", "max"]
+
+
+def test_whole_division_truncates_and_is_null_for_zero(engine):
+    assert rows(engine.sql("SELECT a / b AS q FROM div")) == rows_of([-3, None, 3, None])
+
+
+def rows_of(values):
+    return sorted([(v,) for v in values], key=repr)
+
+
+def test_float_division_is_ieee(engine):
+    got = [r[0] for r in engine.sql("SELECT x / y AS q FROM div").collect()]
+    assert got[0] == math.inf and got[1] == -math.inf and math.isnan(got[2]) and got[3] is None
+    assert engine.sql("SELECT x / y AS q FROM div").schema["q"].dataType == T.FloatType()
+
+
+def test_types_promote(engine):
+    s = engine.sql("SELECT i + f AS a, i + 1 AS b, f * 2.5 AS c, i + 2.5 AS d FROM nums").schema
+    assert [f.dataType for f in s] == [T.FloatType(), T.IntegerType(), T.FloatType(), T.DoubleType()]
+    assert engine.sql("SELECT n + 1 AS a FROM odd").schema["a"].dataType == T.LongType()
+
+
+def test_null_arithmetic_and_filters(engine):
+    assert rows(engine.sql("SELECT i + 1 AS x FROM nums WHERE f > 0")) == [(2,), (6,)]
+    assert rows(engine.sql("SELECT k FROM nums WHERE NOT i = 5")) == rows_of([1, None])
+
+
+def test_null_logic(spark, engine):
+    query = "SELECT i FROM nums WHERE i > 0 OR f > 0 OR k = 2"
+    assert rows(engine.sql(query)) == rows_of([1, 5, 6, None])
+    strict = Engine(spark, strict_null_logic=True).register("nums", engine.table("nums"))
+    assert rows(strict.sql(query)) == [(1,)]
+
+
+def test_strings_compare_by_bytes(engine):
+    assert rows(engine.sql("SELECT s FROM strings WHERE s < 'a'")) == [("",), ("Zed",)]
+    assert rows(engine.sql("SELECT s FROM strings WHERE s > 'prefix-shared-1'")) == [("prefix-shared-2",)]
+
+
+def test_group_keys_may_be_null(engine):
+    got = rows(engine.sql("SELECT k, COUNT(*) AS n, COUNT(i) AS m, SUM(i) AS s, AVG(i) AS a, MIN(f) AS x FROM nums GROUP BY k"))
+    assert got == sorted([(1, 2, 1, 1, 1.0, 1.0), (None, 2, 2, 11, 5.5, 2.5), (2, 1, 0, None, None, None)], key=repr)
+
+
+def test_aggregates_over_nothing(engine):
+    assert rows(engine.sql("SELECT COUNT(*) AS n, COUNT(i) AS m, SUM(i) AS s, AVG(f) AS a, MIN(s) AS x FROM empty")) == [(0, 0, None, None, None)]
+    assert rows(engine.sql("SELECT i, COUNT(*) AS n FROM empty GROUP BY i")) == []
+
+
+def test_aggregate_types(engine):
+    s = engine.sql("SELECT COUNT(*) AS a, SUM(i) AS b, SUM(f) AS c, AVG(i) AS d, MIN(f) AS e FROM nums").schema
+    assert [f.dataType.typeName() for f in s] == ["long", "long", "double", "double", "float"]
+
+
+def test_group_without_aggregates_and_hidden_key(engine):
+    assert rows(engine.sql("SELECT user_id FROM orders GROUP BY user_id")) == rows_of([1, 2, None, 9])
+    assert rows(engine.sql("SELECT COUNT(*) AS n FROM orders GROUP BY user_id")) == [(1,), (1,), (1,), (2,)]
+    assert rows(engine.sql("SELECT user_id * 10 AS t, 3 AS three, COUNT(*) AS n FROM orders WHERE user_id < 3 GROUP BY user_id")) == [(10, 3, 2), (20, 3, 1)]
+
+
+def test_having(engine):
+    assert rows(engine.sql("SELECT user_id, COUNT(*) AS n FROM orders GROUP BY user_id HAVING user_id > 1")) == [(2, 1), (9, 1)]
+    assert rows(engine.sql("SELECT COUNT(*) AS n FROM orders HAVING 1 = 0")) == []
+
+
+def test_null_keys_join_nothing_and_duplicates_fan_out(spark, engine):
+    engine.register("l", spark.createDataFrame([(1, "a"), (1, "b"), (None, "c")], "k int, v string"))
+    engine.register("r", spark.createDataFrame([(1, "x"), (1, "y"), (None, "z")], "k int, w string"))
+    assert len(rows(engine.sql("SELECT v, w FROM l JOIN r ON l.k = r.k"))) == 4
+
+
+def test_comma_joins_use_all_equalities_in_any_order(spark, engine):
+    engine.register("a", spark.createDataFrame([(1, 1), (2, 2)], "x int, y int"))
+    engine.register("b", spark.createDataFrame([(1, 1), (2, 3)], "p int, q int"))
+    engine.register("c", spark.createDataFrame([(1, 5), (2, 6)], "m int, n int"))
+    assert rows(engine.sql("SELECT x FROM a, b WHERE x = p AND y = q")) == [(1,)]
+    assert rows(engine.sql("SELECT x, n FROM a, c, b WHERE p = m AND x = p")) == [(1, 5), (2, 6)]
+
+
+def test_self_and_cross_joins(engine):
+    assert len(rows(engine.sql("SELECT u.id, v.id FROM users u CROSS JOIN users v"))) == 9
+    assert rows(engine.sql("SELECT u.name, v.name FROM users u JOIN users v ON u.id = v.id WHERE u.id = 1")) == [("alice", "alice")]
+
+
+def test_join_keys_of_different_numeric_types(engine):
+    assert rows(engine.sql("SELECT users.id FROM users JOIN nums ON users.id = f")) == [(1,)]
+
+
+def test_other_types_are_read_only_columns(engine):
+    assert rows(engine.sql("SELECT b, n FROM odd")) == [(True, 1)]
+    with pytest.raises(BindError):
+        engine.sql("SELECT n FROM odd WHERE b = b")
+
+
+def test_create_insert_select(spark):
+    e = Engine(spark)
+    assert e.execute("CREATE TABLE t (id int4, name varchar(10), score real)") == Created(0)
+    assert e.execute("INSERT INTO t (score, id, name) VALUES (1.5, 1, 'a'), (2.5, 2, 'it''s')") == Inserted(2)
+    assert rows(e.sql("SELECT * FROM t")) == [(1, "a", 1.5), (2, "it's", 2.5)]
+    with pytest.raises(BindError):
+        e.execute("INSERT INTO t VALUES (3, 'c', 1.0), (4, 'd', 5)")
+    assert len(rows(e.sql("SELECT * FROM t"))) == 2  # a bad row inserts nothing
+
+
+def test_tables_outlive_the_session(spark, tmp_path):
+    path = str(tmp_path / "base")
+    e = Engine(spark, path)
+    e.execute("CREATE TABLE a (i int)")
+    e.execute("CREATE TABLE b (s text)")
+    e.execute("INSERT INTO a VALUES (1), (2)")
+    e.execute("INSERT INTO a VALUES (3)")
+    again = Engine(spark, path)
+    assert rows(again.sql("SELECT i FROM a")) == [(1,), (2,), (3,)]
+    assert again.execute("CREATE TABLE c (f float4)") == Created(2)
+    assert again.catalog.listed() == [("a", 1, 3), ("b", 1, 0), ("c", 1, 0)]
+    with pytest.raises(BindError):
+        again.execute("CREATE TABLE a (i int)")
+
+
+def test_insert_past_a_row_group(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "base"))
+    e.execute("CREATE TABLE t (i int, s varchar)")
+    e.execute("INSERT INTO t VALUES " + ", ".join(f"({i}, 'v{i}')" for i in range(10_500)))
+    assert rows(e.sql("SELECT COUNT(*) AS n, MAX(i) AS m FROM t WHERE s <> ''")) == [(10_500, 10_499)]
+
+
+def test_int_overflow_is_an_error(engine):
+    with pytest.raises(Exception, match="(?i)overflow"):
+        engine.sql("SELECT i * 2000000000 AS x FROM nums").collect()

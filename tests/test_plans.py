@@ -1,0 +1,36 @@
+"""What Catalyst makes of the queries: filters and columns reach the scan."""
+
+from __future__ import annotations
+
+from cairn.queries import session
+
+SF = "/root/testdata/sf0.001"
+
+
+def plan(spark, text):
+    return session(spark, SF).explain(text)
+
+
+def test_filters_and_columns_reach_the_scan(spark):
+    p = plan(spark, "SELECT l_orderkey FROM lineitem WHERE l_quantity > 10 AND l_returnflag = 'R'")
+    assert "GreaterThan(l_quantity,10.0)" in p and "EqualTo(l_returnflag,R)" in p
+    assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double,l_returnflag:string>" in p
+
+
+def test_an_integer_literal_does_not_hide_a_column(spark):
+    assert "PushedFilters: [IsNotNull(l_orderkey), GreaterThan(l_orderkey,5)]" in plan(spark, "SELECT l_tax FROM lineitem WHERE l_orderkey > 5")
+
+
+def test_count_reads_no_columns(spark):
+    assert "ReadSchema: struct<>" in plan(spark, "SELECT COUNT(*) AS n FROM lineitem")
+
+
+def test_filters_pass_joins_and_groups(spark):
+    p = plan(spark, "SELECT n_name, COUNT(*) AS n FROM nation, customer WHERE n_nationkey = c_nationkey AND c_acctbal > 0 GROUP BY n_name HAVING n_name > 'C'")
+    assert "GreaterThan(c_acctbal,0.0)" in p and "GreaterThan(n_name,C)" in p and "Cartesian" not in p and "NestedLoop" not in p
+    assert p.count("HashAggregate") >= 2  # partial and final
+
+
+def test_self_join_prunes_columns(spark):
+    p = plan(spark, "SELECT a.l_tax FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey")
+    assert "ReadSchema: struct<l_orderkey:bigint>" in p

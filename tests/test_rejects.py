@@ -1,0 +1,70 @@
+"""Statements that must not run, and why."""
+
+from __future__ import annotations
+
+import pytest
+
+from cairn.errors import BindError, ParseError
+from cairn.plans import syntax as S
+from cairn.plans.parser import parse, split_statements
+
+PARSE = [
+    "", ";", "SELECT", "SELECT id FROM users; SELECT id FROM users", "SELECT id FROM users WHERE", "UPDATE users SET id = 1", "DELETE FROM users", "DROP TABLE users", "ALTER TABLE users ADD x int", "EXPLAIN SELECT 1",
+    "SELECT DISTINCT id FROM users", "SELECT id FROM users ORDER BY id", "SELECT id FROM users LIMIT 1", "SELECT id FROM users OFFSET 1", "WITH a AS (SELECT 1) SELECT * FROM a", "SELECT id FROM users UNION SELECT id FROM users", "SELECT id INTO x FROM users",
+    "SELECT id FROM users LEFT JOIN orders ON users.id = orders.id", "SELECT id FROM users RIGHT JOIN orders ON users.id = orders.id", "SELECT id FROM users FULL OUTER JOIN orders ON users.id = orders.id", "SELECT id FROM users NATURAL JOIN orders", "SELECT id FROM users JOIN orders USING (id)", "SELECT id FROM users JOIN orders",
+    "SELECT id FROM (SELECT id FROM users) u", "SELECT id FROM range(3)", "SELECT id FROM (VALUES (1)) v", "SELECT id FROM main.users",
+    "SELECT u.* FROM users u", "SELECT a.b.c FROM users", "SELECT pg.count(id) FROM users", "SELECT TRUE FROM users", "SELECT id FROM users WHERE name IS NULL", "SELECT id FROM users WHERE id IN (1, 2)", "SELECT id FROM users WHERE name LIKE 'a%'", "SELECT id FROM users WHERE id BETWEEN 1 AND 2",
+    "SELECT CASE WHEN id = 1 THEN 1 END FROM users", "SELECT CAST(id AS text) FROM users", "SELECT id::text FROM users", "SELECT COALESCE(id, 1) FROM users", "SELECT NULLIF(id, 1) FROM users", "SELECT id % 2 FROM users", "SELECT id ^ 2 FROM users", "SELECT name || 'x' FROM users", "SELECT -id FROM users", "SELECT id FROM users WHERE id IS DISTINCT FROM 1", "SELECT id FROM users WHERE EXISTS (SELECT 1)", "SELECT (SELECT 1) FROM users", "SELECT (id, name) FROM users", "SELECT id FROM users WHERE name ~ 'a'",
+    "SELECT COUNT(DISTINCT id) FROM users", "SELECT SUM(id) OVER () FROM users", "SELECT COUNT(*) FILTER (WHERE id > 1) FROM users", "SELECT MAX(id ORDER BY id) FROM users",
+    "INSERT INTO users DEFAULT VALUES", "INSERT INTO users SELECT id FROM orders", "CREATE TABLE t (i int, PRIMARY KEY (i))", "CREATE TABLE t (i int NOT NULL)", "CREATE TABLE t (i int PRIMARY KEY)", "CREATE TABLE IF NOT EXISTS t (i int)", "CREATE TABLE t AS SELECT 1", "CREATE VIEW v AS SELECT 1", "CREATE TABLE t ()",
+    "SELECT 'open FROM users",
+]
+BIND = [
+    "SELECT id", "SELECT id FROM nobody", "SELECT nope FROM users", "SELECT x.id FROM users", "SELECT users.nope FROM users", "SELECT id FROM users, orders WHERE users.id = orders.user_id", "SELECT users.id FROM users JOIN users ON users.id = users.id",
+    "SELECT users.id FROM users, orders", "SELECT users.id FROM users, orders WHERE users.id < orders.user_id", "SELECT users.id FROM users JOIN orders ON users.id > orders.user_id", "SELECT users.id FROM users JOIN orders ON users.id = 1", "SELECT users.id FROM users JOIN orders ON users.id = orders.user_id OR users.id = orders.id", "SELECT users.id FROM users JOIN orders ON orders.id = orders.user_id", "SELECT users.id FROM users JOIN orders ON users.name = orders.id",
+    "SELECT id FROM users WHERE id", "SELECT id FROM users WHERE id + 1", "SELECT id FROM users WHERE NOT id", "SELECT id FROM users WHERE id = 1 AND name", "SELECT id FROM users WHERE name = 1", "SELECT id FROM users WHERE id > 'a'", "SELECT name + name FROM users", "SELECT name * 2 FROM users", "SELECT id FROM users WHERE id = NULL", "SELECT NULL FROM users", "SELECT id FROM users WHERE (id = 1) = (id = 2)",
+    "SELECT id > 1 FROM users", "SELECT id > 1 AS big FROM users", "SELECT SUM(id) + 1 FROM users", "SELECT id FROM users WHERE COUNT(*) > 1", "SELECT id FROM users GROUP BY id HAVING COUNT(*) > 1", "SELECT SUM(name) FROM users", "SELECT AVG(name) FROM users", "SELECT SUM(*) FROM users", "SELECT SUM(id, id) FROM users", "SELECT COUNT() FROM users", "SELECT SUM(id + 1) FROM users", "SELECT upper(name) FROM users", "SELECT SUM(MAX(id)) FROM users",
+    "SELECT * FROM users GROUP BY id", "SELECT *, COUNT(*) FROM users", "SELECT id FROM users GROUP BY 1", "SELECT id FROM users GROUP BY id + 1", "SELECT name, COUNT(*) FROM users GROUP BY id", "SELECT name, COUNT(*) FROM users", "SELECT id FROM users GROUP BY id HAVING name = 'a'", "SELECT id FROM users GROUP BY id HAVING id",
+    "INSERT INTO nobody VALUES (1)", "INSERT INTO users VALUES (1, 'a')", "CREATE TABLE t (i int8)", "CREATE TABLE t (i float)", "CREATE TABLE t (i boolean)", "CREATE TABLE t (i date)", "CREATE TABLE t (i int, i int)", "CREATE TABLE users (i int)",
+]
+
+
+@pytest.mark.parametrize("text", PARSE)
+def test_parse_errors(engine, text):
+    with pytest.raises(ParseError):
+        engine.execute(text)
+
+
+@pytest.mark.parametrize("text", BIND)
+def test_bind_errors(engine, text):
+    with pytest.raises(BindError):
+        engine.execute(text)
+
+
+@pytest.mark.parametrize("values", ["(1)", "(1, 'a', 2)", "('a', 1)", "(1.5, 'a')", "(1 + 1, 'a')", "(NULL, 'a')", "(id, 'a')", "(3000000000, 'a')"])
+def test_insert_checks_values(engine, values):
+    engine.execute("CREATE TABLE own (id int, name text)")
+    with pytest.raises(BindError):
+        engine.execute(f"INSERT INTO own VALUES {values}")
+    for columns in ("(id)", "(id, id)", "(id, other)"):
+        with pytest.raises(BindError):
+            engine.execute(f"INSERT INTO own {columns} VALUES (1, 'a')")
+
+
+def test_literals_out_of_range(engine):
+    with pytest.raises(BindError):
+        engine.execute(S.Select((S.Item(S.Literal(2**31, "int")),), (S.Table("users"),)))
+    assert parse("SELECT 3000000000 FROM t").items[0].expr == S.Literal(3000000000, "float")
+    assert parse("SELECT -2147483648 FROM t").items[0].expr == S.Literal(-(2**31), "int")
+
+
+def test_split_is_quote_aware():
+    assert split_statements("a ';' b; \"x;y\" -- c;d\n; rest") == (["a ';' b", " \"x;y\" -- c;d\n"], " rest")
+    assert split_statements("SELECT 'open; still") == ([], "SELECT 'open; still")
+
+
+def test_precedence():
+    e = parse("SELECT a FROM t WHERE NOT a = 1 AND b = 2 OR c + 2 * 3 < 4").where
+    assert e.op == "or" and e.operands[0].op == "and" and isinstance(e.operands[0].operands[0], S.Not)
+    assert e.operands[1].left == S.Binary("+", S.Column("c"), S.Binary("*", S.Literal(2, "int"), S.Literal(3, "int")))
+    assert parse("SELECT a FROM t /* x */ WHERE \"Odd Name\" = 'it''s' -- end").where == S.Binary("=", S.Column("Odd Name"), S.Literal("it's", "varchar"))
