@@ -266,7 +266,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     base = F.filter("spans", lambda s: s.base)
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
-    counts = [F.size(F.filter("spans", lambda s, k=k: s.base & (s.kind == k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    of_kind = lambda kind: F.filter("spans", lambda s: s.base & (s.kind == kind))
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in KINDS]
     return annotate(docs, fit(docs)).select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
