@@ -1,7 +1,7 @@
 """Audio features: polyphase resampling, overlapped log-mel filterbanks, and segmentation by energy with hysteresis.
 
 A recording is 8-bit mono PCM in a WAV file. Samples are resampled from RATE by UP / DOWN, so a block of 192 samples becomes
-a hop of 128; a frame is two hops under a Hann window. Frames are stored as Arrow tensors of a fixed shape (FRAMES, BANDS),
+a hop of 128; a frame is two hops under a Hann window, a hop apart. Frames are stored as Arrow tensors of a fixed shape (FRAMES, BANDS),
 the last one filled up with silence, each with the time span that it covers, beside the spans that are active. Everything is
 computed a recording at a time and in pieces of a fixed number of frames, so equal recordings give equal bytes whatever
 shares their batch, and a very long one takes no more memory than its bytes and features.
@@ -68,22 +68,24 @@ def resample(samples: np.ndarray) -> np.ndarray:
 
 
 def log_mel(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(frames, BANDS) log-mel values in quarter decibels as int16, and the frames' energies, one frame for each block."""
+    """(frames, BANDS) log-mel values in hundredths of a decibel as int16, and the frames' energies.
+
+    Frame k covers blocks k - 1 and k; there is silence before the first and after the last, so each block is in two frames."""
     raw = np.frombuffer(payload, np.uint8)
-    blocks = -(-len(raw) // BLOCK)
-    whole = np.full(TAPS // 2 + (blocks + 2) * BLOCK + TAPS, 128, np.uint8)
-    whole[TAPS // 2 : TAPS // 2 + len(raw)] = raw
+    count = -(-len(raw) // BLOCK) + 1
+    whole = np.full(TAPS // 2 + (count + 2) * BLOCK + TAPS, 128, np.uint8)
+    whole[TAPS // 2 + BLOCK : TAPS // 2 + BLOCK + len(raw)] = raw
     values, energies = [], []
-    for first in range(0, blocks, AT_ONCE):
-        n = min(AT_ONCE, blocks - first)
+    for first in range(0, count, AT_ONCE):
+        n = min(AT_ONCE, count - first)
         part = whole[first * BLOCK : (first + n + 1) * BLOCK + TAPS + TAPS // 2].astype(np.float32)
         sound = resample((part - 128) / 128)
         frames = np.lib.stride_tricks.sliding_window_view(sound, 2 * HOP)[::HOP][:n] * HANN
         spectrum = np.fft.rfft(frames.astype(np.float64), axis=1)
         power = (spectrum.real**2 + spectrum.imag**2).astype(np.float32) @ MEL
-        values.append(np.rint(40 * np.log10(power.astype(np.float64) + 1e-6)).astype(np.int16))
+        values.append(np.rint(1000 * np.log10(power.astype(np.float64) + 1e-6)).astype(np.int16))
         energies.append(10 * np.log10(power.sum(axis=1, dtype=np.float64) + 1e-6))
-    return (np.concatenate(values), np.concatenate(energies).round(3)) if blocks else (np.zeros((0, BANDS), np.int16), np.zeros(0))
+    return np.concatenate(values), np.concatenate(energies).round(3)
 
 
 def active(energies: np.ndarray, above: float = 0.5, below: float = 0.5) -> list[tuple[int, int]]:
@@ -102,9 +104,10 @@ SECOND = RATE / BLOCK  # frames
 
 
 def tensors(values: np.ndarray) -> pa.RecordBatch:
-    """Values as fixed-shape tensors (FRAMES, BANDS), each with its time span in seconds and how many of its frames are real."""
+    """Values as fixed-shape tensors (FRAMES, BANDS), each with its time span in seconds (from its first frame's middle to
+    that of the frame after its last) and how many of its frames are real."""
     n = -(-len(values) // FRAMES)
-    filled = np.full((n * FRAMES, BANDS), -240, np.int16)
+    filled = np.full((n * FRAMES, BANDS), -6000, np.int16)
     filled[: len(values)] = values
     starts = np.arange(n) * FRAMES
     stops = np.minimum(starts + FRAMES, len(values))
