@@ -154,20 +154,23 @@ def features(votes: tuple[int, ...], form: int) -> np.ndarray:
 def maximise(patterns: list[tuple[tuple[int, ...], float]], rounds: int = 60) -> tuple[np.ndarray, float, np.ndarray]:
     """Reliabilities (labeler, class, vote), the share of personal data, and each pattern's posterior.
 
-    It starts from labelers that are right four times in five when they vote; pseudo-counts of that kind keep a labeler that
-    hardly votes from taking sides."""
+    It starts from labelers that are right two times in three when they vote against and three in four when they vote for;
+    pseudo-counts of that kind keep a labeler that hardly votes from taking sides. What `checked` does by chance is known
+    (one number in ten passes for a card), so its pseudo-counts weigh as much as the spans themselves."""
     given = np.array([[v + 1 for v in p] for p, _ in patterns])
     count = np.array([c for _, c in patterns], float)
     start = np.array([[0.5, 0.3, 0.2], [0.1, 0.3, 0.6]])
-    table, share = np.repeat(start[None], len(LABELERS), axis=0), 0.5
+    starts = np.repeat(start[None], len(LABELERS), axis=0)
+    starts[LABELERS.index("checked")] = [[0.85, 0.05, 0.1], [0.02, 0.03, 0.95]]
+    weights = np.where(np.array(LABELERS) == "checked", 1.0, 0.02) * count.sum() + 2
+    table, share = starts.copy(), 0.5
     posterior = np.full(len(patterns), 0.5)
     for _ in range(rounds):
         score = np.log([1 - share, share]) + sum(np.log(table[i][:, given[:, i]]).T for i in range(len(LABELERS)))
         posterior = 1 / (1 + np.exp(np.clip(score[:, 0] - score[:, 1], -50, 50)))
         weight = np.stack([count * (1 - posterior), count * posterior])
-        strength = 0.02 * count.sum() + 2
         for i in range(len(LABELERS)):
-            table[i] = strength * start
+            table[i] = weights[i] * starts[i]
             for v in range(3):
                 table[i][:, v] += weight[:, given[:, i] == v].sum(axis=1)
             table[i] /= table[i].sum(axis=1, keepdims=True)
