@@ -22,7 +22,7 @@ WIDEST = max(WIDTHS)
 #: The sample that is learned from: labelled rows of each language (about), characters of a row, and languages at most (the most frequent).
 SAMPLE_ROWS, SAMPLE_CHARS, LANGUAGES = 500, 2048, 256
 STEPS, BATCH = 400, 128
-LETTER = re.compile(r"[^\W\d_]")
+ALPHANUMERIC = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
 LOWER = bytes(range(256)).lower()
 
@@ -118,10 +118,15 @@ def train(rows: list[tuple[str, str]], steps: int = STEPS, seed: int = 0) -> Net
     return net
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter (of a category L); letter-like numbers, such as ² and Ⅷ, are not."""
+    return any(m.group().isalpha() for m in ALPHANUMERIC.finditer(text))
+
+
 def predict(net: Net, texts: list[str | None], at_once: int = 512) -> tuple[list[str], list[float]]:
     """Language and probability of each whole text; UNDETERMINED and 0.0 for null, for a text without a letter, and where nothing was learned."""
     found = [(UNDETERMINED, 0.0)] * len(texts)
-    able = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if net.languages else []
+    able = [i for i, t in enumerate(texts) if t and has_letter(t)] if net.languages else []
     if able:
         windows, owner, sizes = windows_of([texts[i] for i in able])
         total, weight = np.zeros((len(able), len(net.languages))), np.bincount(owner, sizes, len(able))

@@ -185,6 +185,12 @@ def test_op6_gradients():
             assert abs((up - down) / 2e-6 - g[place]) < 1e-4
 
 
+def test_op6_undetermined(net):
+    found, score = op6_byte_cnn.predict(net, [None, "", " 12 .", "² Ⅷ ½ _ 三", "² a", "Ω"])
+    assert [f == "und" for f in found] == [True, True, True, False, False, False] and score[:3] == [0, 0, 0]
+    assert op6_byte_cnn.predict(net, ["² Ⅷ ½ _"])[0] == ["und"]
+
+
 def test_op6_windows_cover_whole_texts():
     for n in (0, 1, 3, 255, 256, 257, 509, 510, 5000):
         windows, owner, sizes = op6_byte_cnn.windows_of(["x" * n, "y"])
