@@ -49,7 +49,9 @@ def merged(a: Column, b: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """The estimated share of shingles that two texts have in common, of those that either has; 1 where both have no word."""
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)).cast("double"))
+    common = F.size(F.array_intersect(a, b))
+    either = F.size(a) + F.size(b) - common  # a sketch has no hash twice
+    return F.when(either == 0, F.lit(1.0)).otherwise(common / either.cast("double"))
 
 
 def containment(a: Column, b: Column) -> Column:
@@ -59,7 +61,7 @@ def containment(a: Column, b: Column) -> Column:
 
 def printed(sketch: Column) -> Column:
     """Sixteen hex digits a hash."""
-    return F.array_join(F.transform(sketch, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
+    return F.lower(F.array_join(F.transform(sketch, lambda h: F.lpad(F.hex(h), 16, "0")), ""))
 
 
 def with_next(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -71,15 +73,8 @@ def with_next(df: DataFrame, columns: list[str]) -> DataFrame:
     n = min(PARTS, max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     at = [i / n for i in range(1, n)]
     found = df.select(key.alias("k")).agg(F.percentile_approx("k", at, 20 * n)).first()[0] or []
-    bounds = sorted(set(found))
-    step = max(1, int(len(bounds) ** 0.5))
-    coarse, fine = bounds[::step], [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    lits = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<long>")
-    upto = lambda xs, k: F.size(F.filter(xs, lambda b: b <= k))
-    block = upto(lits(coarse), F.col("__k"))
-    # the bounds before a block, and those of the block itself that are not above the key
-    part = F.when(block == 0, 0).otherwise((block - 1) * step + upto(F.element_at(F.array(*[lits(f) for f in fine]), F.greatest(block, F.lit(1))), F.col("__k"))) if bounds else F.lit(0)
-    keyed = df.withColumn("__k", key).withColumn("__part", part.cast("int"))
+    bounds = F.lit(sorted(set(found))).cast("array<long>")
+    keyed = df.withColumn("__k", key).withColumn("__part", F.size(F.filter(bounds, lambda b: b <= F.col("__k"))))
     heads = dict(keyed.groupBy("__part").agg(F.max("__k")).collect())
     order = sorted(heads)
     if not order:
