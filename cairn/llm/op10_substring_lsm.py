@@ -257,7 +257,8 @@ class Index:
         def together(df: DataFrame, name: str) -> DataFrame:
             return df.groupBy("segment").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
 
-        segments = self._segments(self.batches)
+        # both joins below take segments in the same form, so that over a first batch they are exchanged once
+        flagged = lambda paths: self._segments(paths).select("segment", "rows").join(shared, "segment", "left")
         shared = together(self._runs().groupBy("bucket").applyInArrow(merge, back), "shared")
         verified = "bucket int, segment long, w0 binary, w1 binary, least binary"
 
@@ -269,6 +270,8 @@ class Index:
             for batch in it:
                 for i in range(batch.num_rows):
                     row = batch.slice(i, 1).to_pylist()[0]
+                    if not row["shared"]:
+                        continue  # nothing to verify
                     w = windows(row)[1]
                     parts = bucketed(w.w0, buckets)
                     yield pa.record_batch([pa.array([b for b, _ in parts], pa.int32()), pa.array([row["segment"]] * len(parts), pa.int64()), *(pa.array([x[p].tobytes() for _, p in parts], pa.binary()) for x in (w.w0, w.w1)), pa.array([narrow(w.least[p]) for _, p in parts], pa.binary())], names=["bucket", "segment", "w0", "w1", "least"])
@@ -288,9 +291,8 @@ class Index:
             flags[order] = own[np.flatnonzero(first)][np.cumsum(first) - 1] < own
             return answer(bucket, names, ends, flags)
 
-        candidates = segments.join(shared, "segment")  # a segment without shared fingerprints has nothing to verify
-        repeats = together(batches(candidates.select("segment", "rows", "shared"), probe, verified).groupBy("bucket").applyInArrow(verify, back), "repeats")
-        done = segments.join(shared, "segment", "left").join(repeats, "segment", "left").filter(F.col("batch") == number)
+        repeats = together(batches(flagged(self.batches).select("segment", "rows", "shared"), probe, verified).groupBy("bucket").applyInArrow(verify, back), "repeats")
+        done = flagged(self.batches[number : number + 1]).join(repeats, "segment", "left")
         names = docs.columns
         kinds = pa.schema([(n, t) for n, t in zip(names, arrow_types(docs), strict=True)] + [("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
