@@ -40,29 +40,47 @@ def signed(x: int) -> int:
 
 
 def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """SimHash of the XXH64 of all word shingles of a whole text, with A-Z as a-z; 0 where there is no word. bytes.lower and
-    bytes.split know ASCII only, which is what is asked for."""
+    """SimHash of the XXH64 of all word shingles of a whole text, with A-Z as a-z; 0 where there is no word."""
+    return several(text, 1, shingle, seed)[0]
+
+
+def several(text: str, count: int, shingle: int = SHINGLE, seed: int = SEED) -> list[int]:
+    """`count` fingerprints: the first as fingerprint() says, the others of the same hashes, each mixed anew.
+
+    bytes.lower and bytes.split know ASCII only, which is what is asked for."""
     words = text.encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
-    total, n = np.zeros(BITS, np.int64), max(1, len(words) - shingle + 1)
+        return [0] * count
+    total, n = np.zeros((count, BITS), np.int64), max(1, len(words) - shingle + 1)
     for first in range(0, n, AT_ONCE):
         part = words[first : first + AT_ONCE + shingle - 1]
         shingles = map(b" ".join, zip(*(part[i:] for i in range(shingle)), strict=False)) if len(part) >= shingle else [b" ".join(part)]
-        hashes = np.frombuffer(b"".join([xxh64_digest(s, seed) for s in shingles]), np.uint8).reshape(-1, 8)
-        total += np.unpackbits(hashes, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
+        hashes = np.frombuffer(b"".join([xxh64_digest(s, seed) for s in shingles]), ">u8")
+        for i in range(count):
+            total[i] += np.unpackbits(remixed(hashes, i).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return [int.from_bytes(x.tobytes(), "big") for x in np.packbits(2 * total > n, axis=1)]
+
+
+def remixed(hashes: np.ndarray, i: int) -> np.ndarray:
+    """The i-th independent hash from each hash, the 0th being itself (the finaliser of SplitMix64 after a step for i)."""
+    if not i:
+        return hashes
+    h = hashes.astype(np.uint64) + np.uint64(i * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (64 bits as a long) for each row; a null text has no word."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, count: int = 1) -> DataFrame:
+    """doc_id, fps (`count` fingerprints of 64 bits, as longs) for each row; a null text has no word."""
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
             for batch in slices(whole):
-                yield pa.record_batch([batch.column(0), pa.array([signed(fingerprint(t, shingle)) for t in batch.column(1).to_pylist()], pa.int64())], names=["doc_id", "fp"])
+                got = [[signed(x) for x in several(t, count, shingle)] for t in batch.column(1).to_pylist()]
+                yield pa.record_batch([batch.column(0), pa.array(got, pa.list_(pa.int64()))], names=["doc_id", "fps"])
 
-    return batches(texts(docs), rows, "doc_id long, fp long")
+    return batches(texts(docs), rows, "doc_id long, fps array<long>")
 
 
 def bit_counts(prints: DataFrame) -> np.ndarray:
@@ -152,31 +170,31 @@ def differ(a: Column, b: Column) -> Column:
 
 
 def links(prints: DataFrame, groups: list[tuple[int, int, list[int]]], tau: int = TAU, hot: int = HOT) -> DataFrame:
-    """(a, b): links between different fingerprints, enough of them to connect all that differ in at most tau bits, and none between others."""
+    """(seed, a, b): links between different fingerprints of one seed, enough of them to connect all that differ in at most
+    tau bits, and none between others. `prints`: seed, fp, each pair once."""
     fp = F.col("fp")
-    exact = prints.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("part"), F.lit(signed(mask)).alias("mask")) for i, (mask, _, _) in enumerate(groups)])).alias("g")).select("fp", "g.part", fp.bitwiseAND(F.col("g.mask")).alias("key"))
-    probes = []
+    exact = prints.select("seed", "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("part"), F.lit(signed(mask)).alias("mask")) for i, (mask, _, _) in enumerate(groups)])).alias("g")).select("seed", "fp", "g.part", fp.bitwiseAND(F.col("g.mask")).alias("key"))
+    near = exact.withColumn("k", F.lit(0))
     for i, (mask, t, bits) in enumerate(groups):
         for k in range(1, t + 1):
             flip = F.explode(F.array(*[F.lit(x) for x in flips(bits, k)]))
-            probes.append(prints.select("fp", flip.alias("flip")).select("fp", F.lit(i).alias("part"), fp.bitwiseAND(F.lit(signed(mask))).bitwiseXOR(F.col("flip")).alias("key"), F.lit(k).alias("k")))
-    near = exact.withColumn("k", F.lit(0))
-    for p in probes:
-        near = near.unionByName(p)
-    crowded = kept(exact.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).drop("n"), "hot")
+            key = fp.bitwiseAND(F.lit(signed(mask))).bitwiseXOR(F.col("flip"))
+            near = near.unionByName(prints.select("seed", "fp", flip.alias("flip")).select("seed", "fp", F.lit(i).alias("part"), key.alias("key"), F.lit(k).alias("k")))
+    place = ["seed", "part", "key"]
+    crowded = kept(exact.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).drop("n"), "hot")
     any_hot = not crowded.isEmpty()
-    cold = exact.join(crowded, ["part", "key"], "left_anti") if any_hot else exact
+    cold = exact.join(crowded, place, "left_anti") if any_hot else exact
     a, b = cold.alias("a"), near.alias("b")
-    met = (F.col("a.part") == F.col("b.part")) & (F.col("a.key") == F.col("b.key"))
+    met = (F.col("a.seed") == F.col("b.seed")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.key") == F.col("b.key"))
     once = F.when(F.col("b.k") == 0, F.col("a.fp") < F.col("b.fp")).otherwise(F.col("a.fp") != F.col("b.fp"))
-    found = a.join(b, met & once & (differ(F.col("a.fp"), F.col("b.fp")) <= tau)).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    found = a.join(b, met & once & (differ(F.col("a.fp"), F.col("b.fp")) <= tau)).select("a.seed", F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
     if any_hot:
-        found = found.unionByName(meeting_points(near.join(crowded, ["part", "key"], "left_semi"), groups, tau))
+        found = found.unionByName(meeting_points(near.join(crowded, place, "left_semi"), groups, tau))
     return found
 
 
 def meeting_points(members: DataFrame, groups: list[tuple[int, int, list[int]]], tau: int) -> DataFrame:
-    """links() for crowded keys. `members`: fp, part, key, k (bits in which its own key differs from the key that it probes).
+    """links() for crowded keys. `members`: seed, fp, part, key, k (bits in which its own key differs from the key that it probes).
 
     A member with k = 0 and one with k are linked if their other bits differ in at most tau - k. The first goes to the points
     within a = 1 of its other bits (0 if tau - k is 0), the second to those within tau - k - a, so they share a point just if
@@ -190,14 +208,14 @@ def meeting_points(members: DataFrame, groups: list[tuple[int, int, list[int]]],
             near = min(1, reach, tau // 2)
             for first, radius in ((True, near), (False, reach - near)):
                 flip = F.explode(F.array(*[F.lit(x) for d in range(radius + 1) for x in flips(rest, d)]))
-                which = own.filter(F.col("k") == (0 if first else k)).select("fp", "part", "key", flip.alias("flip"))
-                points.append(which.select("fp", "part", "key", F.lit(k).alias("k"), F.lit(first).alias("first"), F.col("fp").bitwiseAND(F.lit(signed(rest_mask))).bitwiseXOR(F.col("flip")).alias("point")))
+                which = own.filter(F.col("k") == (0 if first else k)).select("seed", "fp", "part", "key", flip.alias("flip"))
+                points.append(which.select("seed", "fp", "part", "key", F.lit(k).alias("k"), F.lit(first).alias("first"), F.col("fp").bitwiseAND(F.lit(signed(rest_mask))).bitwiseXOR(F.col("flip")).alias("point")))
     everyone = points[0]
     for p in points[1:]:
         everyone = everyone.unionByName(p)
     # the members of a point are bounded by the number of ways to be that near to it, whatever the number of rows
-    at = everyone.groupBy("part", "key", "k", "point").agg(F.min(F.when(F.col("first"), F.col("fp"))).alias("a"), F.collect_set("fp").alias("all")).filter(F.col("a").isNotNull() & (F.size("all") > 1))
-    return at.select("a", F.explode("all").alias("b")).filter("a <> b").distinct()
+    at = everyone.groupBy("seed", "part", "key", "k", "point").agg(F.min(F.when(F.col("first"), F.col("fp"))).alias("a"), F.collect_set("fp").alias("all")).filter(F.col("a").isNotNull() & (F.size("all") > 1))
+    return at.select("seed", "a", F.explode("all").alias("b")).filter("a <> b").distinct()
 
 
 def components(edges: DataFrame, name: str = "star") -> DataFrame:
@@ -225,11 +243,11 @@ def near_duplicates(docs: DataFrame, tau: int = TAU, shingle: int = SHINGLE, hot
     component_id is the smallest doc_id that links of at most tau differing bits reach, the row's own included. Rows whose
     text is null or has no word have fingerprint zero and are linked as any others; a null doc_id counts as larger than all,
     so component_id is null only where no doc_id is reached; repeated rows each have a row; an empty table gives none."""
-    own = kept(fingerprints(docs, shingle), "fingerprints")
+    own = kept(fingerprints(docs, shingle).select("doc_id", F.col("fps")[0].alias("fp")), "fingerprints")
     prints = kept(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     total = prints.count()
-    found = components(links(prints.select("fp"), design(prints, total, tau), tau, hot)) if total > 1 else None
-    if found is not None:
+    if total > 1:
+        found = components(links(prints.select(F.lit(0).alias("seed"), "fp"), design(prints, total, tau), tau, hot))
         rooted = prints.join(found, prints["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
         reached = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
         prints = rooted.join(reached, "root").select("fp", "component_id")
@@ -238,6 +256,24 @@ def near_duplicates(docs: DataFrame, tau: int = TAU, shingle: int = SHINGLE, hot
     return own.join(prints, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def repeats(docs: DataFrame, count: int, tau: int = TAU, shingle: int = SHINGLE, hot: int = HOT) -> DataFrame:
+    """doc_id of the documents that one with a smaller doc_id nearly repeats, once each.
+
+    Documents are linked if any of `count` fingerprints of theirs are: one fingerprint misses most pairs that are alike but
+    not nearly equal, and each further one finds a like share of those still missed. Null doc_ids are never among them; rows
+    of one doc_id are one document; an empty table gives none."""
+    own = kept(fingerprints(docs.filter(F.col("doc_id").isNotNull()), shingle, count).select("doc_id", F.posexplode("fps").alias("seed", "fp")), "fingerprints")
+    classes = kept(own.groupBy("seed", "fp").agg(F.min("doc_id").alias("first")), "classes")
+    one = classes.filter("seed = 0").select("fp")  # all seeds' bits are alike in kind, so one plan serves
+    total = one.count()
+    groups = design(one, total, tau) if total else [((1 << 32) - 1, 1, list(range(32))), (((1 << 32) - 1) << 32, 1, list(range(32, 64)))]
+    found = links(classes.select("seed", "fp"), groups, tau, hot)
+    first = lambda name: classes.select("seed", F.col("fp").alias(name), F.col("first").alias(f"{name}_first"))
+    linked = found.join(first("a"), ["seed", "a"]).join(first("b"), ["seed", "b"]).select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))
+    equal = own.join(classes, ["seed", "fp"]).select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    return components(linked.unionByName(equal).filter("a <> b")).filter("node <> root").select(F.col("node").alias("doc_id"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4: every document's fingerprint and component."""
     return near_duplicates(documents(spark, sf_dir))

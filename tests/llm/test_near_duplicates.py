@@ -72,6 +72,16 @@ def test_op4_odd_rows(documents, odd):
     assert [tuple(r) for r in op4_simhash_gph.near_duplicates(documents([(7, None, None)])).collect()] == [(7, "0" * 16, 7)]
 
 
+def test_repeats_over_several_fingerprints(documents):
+    r = random.Random(9)
+    words = [f"w{r.randrange(10**6)}" for _ in range(600)]
+    near = [" ".join("x" if k % 150 == i else w for k, w in enumerate(words)) for i in range(1, 8)]
+    values = [(10 + i, t, "en") for i, t in enumerate([" ".join(words), *near])] + [(3, "alone and short", "en"), (None, " ".join(words), "en"), (4, "alone and short", "fr"), (4, "alone and short", "fr")]
+    got = [x.doc_id for x in op4_simhash_gph.repeats(documents(values), 8).collect()]
+    assert len(got) == len(set(got)) and set(got) <= {4, *range(11, 18)} and {4} < set(got) and len(got) >= 5
+    assert op4_simhash_gph.repeats(documents([]), 2).collect() == []
+
+
 @pytest.fixture(scope="module")
 def cloud():
     """Fingerprints around three centres, each in reach of many, and others alone."""
@@ -90,22 +100,23 @@ def cloud():
 @pytest.mark.parametrize("shape", ["own", "halves", "thirds", "quarters"])
 def test_links_connect_all_and_only_near_ones(spark, cloud, hot, shape):
     m = op4_simhash_gph
-    df = spark.createDataFrame([(m.signed(x),) for x in cloud], "fp long")
+    df = spark.createDataFrame([(s, m.signed(x)) for x in cloud for s in (0, 1)], "seed int, fp long")
     cuts = {"halves": ([32, 32], [1, 1]), "thirds": ([21, 21, 22], [0, 1, 0]), "quarters": ([16] * 4, [0] * 4)}
     if shape == "own":
-        groups = m.design(df, len(cloud), 3)
+        groups = m.design(df.filter("seed = 0"), len(cloud), 3)
     else:
         (widths, limits), at, groups = cuts[shape], 0, []
         for w, t in zip(widths, limits, strict=True):
             bits = list(range(at, at + w))
             groups.append((sum(1 << b for b in bits), t, bits))
             at += w
-    links = [(r.a & (1 << 64) - 1, r.b & (1 << 64) - 1) for r in m.links(df, groups, 3, hot).collect()]
-    assert all(a != b for a, b in links)
-    found = {}
-    for r in m.components(m.links(df, groups, 3, hot)).collect():
-        found.setdefault(r.root, set()).add(r.node & (1 << 64) - 1)
-    assert {frozenset(g) for g in found.values()} == {g for g in brute_components(cloud) if len(g) > 1}
+    made = m.links(df, groups, 3, hot)
+    assert made.filter("a = b").isEmpty()
+    for seed in (0, 1):
+        found = {}
+        for r in m.components(made.filter(f"seed = {seed}")).collect():
+            found.setdefault(r.root, set()).add(r.node & (1 << 64) - 1)
+        assert {frozenset(g) for g in found.values()} == {g for g in brute_components(cloud) if len(g) > 1}
 
 
 def test_thresholds_are_the_cheapest():
