@@ -8,6 +8,8 @@ above. Windows over the whole table's order run in parts: ranges of doc_id, each
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ SHINGLE, SCALE = 5, 8
 BELOW = -(1 << 63) + (1 << 64) // SCALE
 WHITE = r"[ \t\n\x0B\f\r]+"
 #: Parts that a whole-table order is cut into at most; their bounds are all that the driver sees.
-PARTS = 4096
+PARTS = 1 << 16
 
 
 def words(text: Column) -> Column:
@@ -70,20 +72,26 @@ def with_next(df: DataFrame, columns: list[str]) -> DataFrame:
     with the largest doc_id of the part below it, which follow its own last row."""
     spark = df.sparkSession
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    n = min(PARTS, max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    n = min(PARTS, max(16, 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     at = [i / n for i in range(1, n)]
     found = df.select(key.alias("k")).agg(F.percentile_approx("k", at, 20 * n)).first()[0] or []
-    bounds = F.lit(sorted(set(found))).cast("array<long>")
-    keyed = df.withColumn("__k", key).withColumn("__part", F.size(F.filter(bounds, lambda b: b <= F.col("__k"))))
+    bounds = sorted(set(found))
+    # the number of bounds up to a key, in two steps: blocks of bounds by their first ones, then within the last such block
+    step = max(1, round(len(bounds) ** 0.5))
+    blocks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    upto = lambda xs: F.size(F.filter(xs, lambda b: b <= F.col("__k")))
+    literal = lambda xs, kind="array<long>": F.from_json(F.lit(json.dumps(xs)), kind)  # noqa: E731  one constant, however long
+    keyed = df.withColumn("__k", key).withColumn("__block", upto(literal([b[0] for b in blocks])))
+    within = upto(F.get(literal(blocks, "array<array<long>>"), F.col("__block") - 1))
+    keyed = keyed.withColumn("__part", F.when(F.col("__block") == 0, 0).otherwise((F.col("__block") - 1) * step + within)).drop("__block")
     heads = dict(keyed.groupBy("__part").agg(F.max("__k")).collect())
     order = sorted(heads)
     if not order:
         return df.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
     above = {p: order[(i + 1) % len(order)] for i, p in enumerate(order)}  # the lowest part's last row is followed by the top part's first
-    head = F.element_at(F.create_map(*[F.lit(x) for p in order for x in (p, heads[p])]), F.col("__part"))
-    to = F.element_at(F.create_map(*[F.lit(x) for p in order for x in (p, above[p])]), F.col("__part"))
+    head, to = (F.get(literal([of.get(p) for p in range(order[-1] + 1)]), F.col("__part")) for of in (heads, above))
     places = F.array(F.struct(F.lit(0).alias("copy"), F.col("__part").alias("part")))
-    dealt = keyed.withColumn("__at", F.explode(F.when(F.col("__k") == head, F.concat(places, F.array(F.struct(F.lit(1).alias("copy"), to.alias("part"))))).otherwise(places)))
+    dealt = keyed.withColumn("__at", F.explode(F.when(F.col("__k") == head, F.concat(places, F.array(F.struct(F.lit(1).alias("copy"), to.cast("int").alias("part"))))).otherwise(places)))
     dealt = dealt.select(*df.columns, "__k", F.col("__at.copy").alias("__copy"), F.col("__at.part").alias("__to"))
     # copies come after the part's own rows; where the part is its own neighbour, its first row's copy closes the circle
     following = F.lead(F.struct(*columns)).over(Window.partitionBy("__to").orderBy("__copy", F.desc("__k"), "text"))
