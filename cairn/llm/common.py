@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +51,14 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
+def find_package(spark: SparkSession) -> None:
+    """Python workers look for this package where the driver has it, beside where they look anyway."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def ddl(docs: DataFrame, names: list[str]) -> str:
     """The columns `names` as they stand in a schema's text."""
     return "".join(f", `{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
@@ -56,6 +66,7 @@ def ddl(docs: DataFrame, names: list[str]) -> str:
 
 def batches(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """`rows` over each partition's Arrow batches, which are kept small: texts differ much in length."""
+    find_package(df.sparkSession)
     df.sparkSession.conf.set(BATCH_ROWS, "4000")
     return df.mapInArrow(rows, schema)
 
