@@ -1,12 +1,13 @@
 """Packing documents into sequences by column generation for the cutting-stock problem.
 
-A document's ids are cut where a sequence is full; what is left over, at most a sequence long, is a piece as well. Pieces
-are counted by length class (lengths rounded up to a multiple of `STEP`). The linear program over patterns (how many pieces
-of each class share a sequence) starts from patterns of one class each; a knapsack over the duals gives the pattern that
-would lower the number of sequences most, until none does. Each pattern is used as often as its value rounded down says;
-the few pieces left after that are packed first-fit decreasing, class by class. The driver sees the histogram and the
-patterns, whose sizes depend on the classes alone. Pieces are ranked within their class, and a piece's rank gives its
-pattern, copy and slot by arithmetic; a class with many pieces is ranked in salted parts, so it never meets in one task.
+A document's ids are cut where a sequence is full; what is left over, less than a sequence, is a piece as well, or is cut
+into pieces of at most a half, a quarter or an eighth of a sequence, the longest with which little padding remains. Pieces are counted by
+length class (lengths rounded up to a multiple of `STEP`). The linear program over patterns (how many pieces of each class
+share a sequence) starts from patterns of one class each; a knapsack over the duals gives the pattern that would lower the
+number of sequences most, until none does. Each pattern is used as often as its value rounded down says; the few pieces left
+after that are packed first-fit decreasing, class by class. The driver sees the histogram of lengths and the patterns, whose
+sizes depend on the sequence length alone. Pieces are ranked within their class, and a piece's rank gives its pattern, copy
+and slot by arithmetic; a class with many pieces is ranked in salted parts, so it never meets in one task.
 """
 
 from __future__ import annotations
@@ -20,13 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import batches, documents, scratch, slices, texts
+from cairn.llm.common import batches, documents, kept, scratch, slices, texts
 from cairn.llm.tokens import encoder
 
-SEQUENCE, STEP = 2048, 4
+SEQUENCE, STEP = 2048, 8
+#: The share of sequences that should be ids, for pieces to be left as long as they are.
+FULL = 0.99
 #: Pieces of a class that are ranked by one task.
-RANKED = 20_000
-PIECES = "piece long, doc_id long, start long, length long, doc_tokens long, class int, salt int, ids_crc32 long, ids binary"
+RANKED = 2_000
+#: How many pieces of at most sequence / 2 ** level a rest may be cut into: levels 0 to 3.
+LEVELS = 4
+DOCS = "doc long, doc_id long, n long, whole array<long>, rests array<array<long>>, ids binary"
 
 
 def best_pattern(value: np.ndarray, units: int) -> tuple[float, np.ndarray]:
@@ -135,27 +140,64 @@ class Slots:
         return out
 
 
-def write_pieces(docs: DataFrame, path: str, tokenizer: str, end_id: int, sequence: int = SEQUENCE, step: int = STEP) -> None:
-    """Encodes `docs`, ends each document with end_id, cuts it where a sequence is full and writes the pieces with their ids."""
+def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, sequence: int) -> None:
+    """Encodes `docs`, ends each document with end_id and writes the ids, with the crc32 of each whole sequence of them and,
+    for each level, of each piece of the rest."""
     end = struct.pack("<I", end_id)
 
-    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sums(ids: bytes) -> tuple[list[int], list[list[int]]]:
+        data, rest = memoryview(ids), len(ids) - len(ids) % (4 * sequence)
+        each = lambda a, b, step: [zlib.crc32(data[i : min(b, i + step)]) for i in range(a, b, step)]
+        return each(0, rest, 4 * sequence), [each(rest, len(ids), 4 * sequence >> level) for level in range(LEVELS)]
+
+    def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 33
-        for whole in it:
-            for batch in slices(whole, 16 << 20):
-                out: list[tuple] = []
-                for key, got in zip(batch.column(0).to_pylist(), encoder(tokenizer).encode(batch.column(1)), strict=True):
-                    ids = got + end
-                    for at in range(0, len(ids), 4 * sequence):
-                        piece = ids[at : at + 4 * sequence]
-                        out.append((number, key, at // 4, len(piece) // 4, len(ids) // 4, -(-len(piece) // (4 * step)) - 1, 0, zlib.crc32(piece), piece))
-                        number += 1
-                kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.int64(), pa.binary()]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=[c.split()[0] for c in PIECES.split(", ")])
+        for full in it:
+            for batch in slices(full, 16 << 20):
+                ids = [x + end for x in encoder(tokenizer).encode(batch.column(1))]
+                crcs = list(map(sums, ids))
+                longs = pa.list_(pa.int64())
+                yield pa.record_batch([pa.array(range(number, number + len(ids)), pa.int64()), batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([w for w, _ in crcs], longs), pa.array([r for _, r in crcs], pa.list_(longs)), pa.array(ids, pa.binary())], names=["doc", "doc_id", "n", "whole", "rests", "ids"])
+                number += len(ids)
+
+    batches(texts(docs), encode, DOCS).write.parquet(path)
+
+
+def pieces_of(encoded: DataFrame, sequence: int, level: int, step: int) -> DataFrame:
+    """A row for each piece, without its ids: doc, doc_id, start, length, doc_tokens, class, ids_crc32."""
+    largest = sequence >> level
+    every = encoded.select("doc", "doc_id", F.col("n").alias("doc_tokens"), F.size("whole").cast("long").alias("full"), F.posexplode(F.concat("whole", F.col("rests")[level])).alias("i", "ids_crc32"))
+    start = F.when(F.col("i") < F.col("full"), F.col("i") * sequence).otherwise(F.col("full") * sequence + (F.col("i") - F.col("full")) * largest)
+    length = F.when(F.col("i") < F.col("full"), F.lit(sequence)).otherwise(F.least(F.lit(largest), F.col("doc_tokens") - F.col("start")))
+    return every.withColumn("start", start.cast("long")).withColumn("length", length.cast("long")).withColumn("class", (F.ceil(F.col("length") / step) - 1).cast("int")).drop("i", "full")
+
+
+def cuts(n: int, sequence: int, largest: int) -> list[tuple[int, int]]:
+    """(start, length) of the pieces of n ids: whole sequences, then `largest` at a time, then the rest."""
+    out = [(at, sequence) for at in range(0, n - n % sequence, sequence)]
+    out += [(at, min(largest, n - at)) for at in range(n - n % sequence, n, largest)]
+    return out
 
-    batches(texts(docs), cut, PIECES).write.parquet(path)
+
+def choose(lengths: list[tuple[int, int, int]], sequence: int, step: int) -> tuple[int, list[tuple[int, np.ndarray]]]:
+    """The level that rests are cut at, and the plan, from (rest, documents with it, their whole sequences)."""
+    units, best = sequence // step, (-1.0, 0, [])
+    total = sum(r * n + sequence * whole for r, n, whole in lengths)
+    for level in range(LEVELS):
+        demand = np.zeros(units, np.int64)
+        for rest, n, whole in lengths:
+            demand[units - 1] += whole
+            for _, length in cuts(rest, sequence, sequence >> level):
+                demand[-(-length // step) - 1] += n
+        made = plan(demand, units)
+        share = total / sequence / max(1, sum(copies for copies, _ in made))
+        if share > best[0] + 1e-9:
+            best = (share, level, made)
+        if share >= FULL:
+            break
+    return best[1], best[2]
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, sequence: int = SEQUENCE, step: int = STEP, ranked: int = RANKED, with_ids: bool = True) -> DataFrame:
@@ -164,32 +206,36 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, sequence: int = SEQUENCE,
     A null text is empty and has the end id alone; rows of equal or null doc_id are documents of their own; an empty table
     has no pieces; columns other than doc_id and text are ignored."""
     spark = docs.sparkSession
-    path = scratch(spark, "pieces")
-    write_pieces(docs, path, tokenizer, end_id, sequence, step)
-    pieces = spark.read.schema(PIECES).parquet(path)
-    units = sequence // step
-    counts = dict(pieces.groupBy("class").count().collect())  # at most `units` rows
-    demand = np.zeros(units, np.int64)
-    for k, n in counts.items():
-        demand[k] = n
-    slots = Slots(plan(demand, units))
+    path = scratch(spark, "ids")
+    write_ids(docs, path, tokenizer, end_id, sequence)
+    encoded = spark.read.schema(DOCS).parquet(path)
+    lengths = encoded.groupBy((F.col("n") % sequence).alias("rest")).agg(F.count(F.lit(1)), F.sum(F.floor(F.col("n") / sequence))).collect()  # at most `sequence` rows
+    level, made = choose(sorted(map(tuple, lengths)), sequence, step)
+    slots = Slots(made)
+    pieces = kept(pieces_of(encoded, sequence, level, step), "pieces")
+    counts = dict(pieces.groupBy("class").count().collect())  # at most sequence / step rows
     salts = {k: -(-n // ranked) for k, n in counts.items()}
-    salted = pieces.drop("salt", "ids").withColumn("salt", F.pmod(F.xxhash64("piece"), F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, n in sorted(salts.items()) for x in (k, n)]), F.col("class")), F.lit(1))) if salts else F.lit(0))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc", "start"), F.element_at(F.create_map(*[F.lit(x) for k, n in sorted(salts.items()) for x in (k, n)]), F.col("class"))) if salts else F.lit(0))
     # how many pieces of its class come in salted parts before a part: as many rows as parts, one for RANKED pieces
     parts = salted.groupBy("class", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = parts.withColumn("before", F.sum("n").over(Window.partitionBy("class").orderBy("salt")) - F.col("n")).drop("n")
-    rank = F.row_number().over(Window.partitionBy("class", "salt").orderBy("piece")) - 1
+    rank = F.row_number().over(Window.partitionBy("class", "salt").orderBy("doc", "start")) - 1
     placed = salted.withColumn("rank", rank).join(before, ["class", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
 
+    names = ["doc", "doc_id", "start", "length", "doc_tokens", "ids_crc32"]
+
     def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            ids = slots.sequences(batch.column(1).to_numpy(), batch.column(2).to_numpy())
-            yield pa.record_batch([*batch.columns[:1], *batch.columns[3:], pa.array(ids, pa.int64())], names=["piece", "doc_id", "start", "length", "doc_tokens", "ids_crc32", "sequence_id"])
+            ids = slots.sequences(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            yield pa.record_batch([*batch.columns[2:], pa.array(ids, pa.int64())], names=[*names, "sequence_id"])
 
-    sequenced = batches(placed.select("piece", "class", "rank", "doc_id", "start", "length", "doc_tokens", "ids_crc32"), place, "piece long, doc_id long, start long, length long, doc_tokens long, ids_crc32 long, sequence_id long")
-    so_far = Window.partitionBy("sequence_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    sequenced = batches(placed.select("class", "rank", *names), place, "doc long, doc_id long, start long, length long, doc_tokens long, ids_crc32 long, sequence_id long")
+    so_far = Window.partitionBy("sequence_id").orderBy("doc", "start").rowsBetween(Window.unboundedPreceding, -1)
     sequenced = sequenced.withColumn("offset", F.coalesce(F.sum("length").over(so_far), F.lit(0)))
-    return (sequenced.join(pieces.select("piece", "ids"), "piece") if with_ids else sequenced).drop("piece")
+    if with_ids:
+        own = F.substring("ids", (4 * F.col("start") + 1).cast("int"), (4 * F.col("length")).cast("int"))
+        sequenced = sequenced.join(encoded.select("doc", "ids"), "doc").withColumn("ids", own)
+    return sequenced.drop("doc")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
