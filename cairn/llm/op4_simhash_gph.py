@@ -27,8 +27,10 @@ from xxhash import xxh64_digest
 from cairn.llm.common import batches, documents, kept, slices, texts
 
 BITS, TAU, SHINGLE, SEED = 64, 3, 3, 42
-#: Fingerprints of one key beyond which they meet at points instead of in pairs.
-HOT = 64
+#: Fingerprints of one key beyond which they meet at points instead of in pairs. Comparing a pair takes some 50 ns, a member
+#: goes to some thousand points for 3 us each, so pairs are cheaper for long; what they let through stays small, as no more
+#: than 128 different fingerprints can all be within 3 bits of one another.
+HOT = 2048
 #: Fingerprints that estimates of candidate counts look at, beside the statistics of all.
 SAMPLE = 2048
 #: Shingles hashed at a time.
