@@ -36,6 +36,14 @@ class Remembering:
     def learn(self, new: Set[str]) -> dict[str, bytes]:
         raise NotImplementedError
 
+    def folded(self, texts: pa.Array) -> pa.Array:
+        """The texts in a form that encodes alike and has fewer different stretches."""
+        return texts
+
+    def unsafe(self, stretch: str) -> bool:
+        """Whether a folded stretch may encode otherwise than the text's own."""
+        return False
+
     def _meet(self, met: list[str]) -> list[bytes]:
         """The ids of each of `met`, which are all different."""
         if len(self.known) > self.kept:
@@ -56,11 +64,11 @@ class Remembering:
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Arrow splits the texts before each space and line feed and numbers what comes of it, so Python meets each stretch
         once a batch. A part that ends in white space would split a run of it: texts with such parts are done by STRETCH."""
-        marked = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n")
+        marked = pc.replace_substring(pc.replace_substring(self.folded(texts), " ", "\0 "), "\n", "\0\n")
         parts = pc.split_pattern(marked, "\0")
         ends, numbered = parts.offsets.to_numpy() - parts.offsets[0].as_py(), parts.flatten().dictionary_encode()
         codes, met = numbered.indices.to_numpy(), numbered.dictionary.to_pylist()
-        odd = np.array([s[-1:] in WHITES for s in met], bool)
+        odd = np.array([s[-1:] in WHITES or (not s.isascii() and self.unsafe(s)) for s in met], bool)
         ids = self._meet(met)
         sizes = np.array([len(x) // 4 for x in ids], np.int64)
         pool, starts = np.frombuffer(b"".join(ids), "<u4"), np.concatenate([[0], np.cumsum(sizes)])[:-1]
@@ -91,6 +99,14 @@ class Encoder(Remembering):
             self.spans[i] = len(token.removesuffix("</w>"))
         self.drops_white = self.tokenizer.normalizer is not None
 
+    def folded(self, texts: pa.Array) -> pa.Array:
+        """Where white space is dropped and case folded anyway, line feeds are blanks and A-Z a-z."""
+        return pc.ascii_lower(pc.replace_substring(texts, "\n", " ")) if self.drops_white else texts
+
+    def unsafe(self, stretch: str) -> bool:
+        """A mark may combine with a small letter but not with its capital, so folding comes too early for it."""
+        return self.drops_white and not unicodedata.is_normalized("NFC", stretch)
+
     def _sizes(self, new: list[str]) -> list[int]:
         """Bytes of each stretch as the library normalises it."""
         if self.drops_white:
