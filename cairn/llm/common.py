@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -64,11 +66,24 @@ def ddl(docs: DataFrame, names: list[str]) -> str:
     return "".join(f", `{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
 
 
-def batches(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """`rows` over each partition's Arrow batches, which are kept small: texts differ much in length."""
+def batches(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, batch_rows: int = 1000) -> DataFrame:
+    """`rows` over each partition's Arrow batches, which are kept small, as texts differ much in length. The setting for that
+    is the session's, so it holds until the next call of this."""
     find_package(df.sparkSession)
-    df.sparkSession.conf.set(BATCH_ROWS, "4000")
-    return df.mapInArrow(rows, schema)
+    df.sparkSession.conf.set(BATCH_ROWS, str(batch_rows))
+
+    def and_release(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from rows(it)
+        release()
+
+    return df.mapInArrow(and_release, schema)
+
+
+def release() -> None:
+    """Gives free memory back to the system: workers live on and share an executor's memory with those of later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def slices(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ from xxhash import xxh3_128_digest
 from cairn.llm.common import batches, documents, scratch, slices
 
 WINDOW, GRAM, RUNS = 13, 5, 4
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 3 << 20
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id
 SEGMENT = "segment long, batch int, n_docs int, rows binary"
 RUN = "bucket int, segment long, hashes binary, several binary"
@@ -196,7 +196,8 @@ class Index:
 
         def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in it:
-                for row in batch.to_pylist():
+                for i in range(batch.num_rows):
+                    row = batch.slice(i, 1).to_pylist()[0]
                     hashes, several = of(row["rows"]).fingerprints()
                     parts = bucketed(hashes, buckets)
                     yield pa.record_batch([pa.array([b for b, _ in parts], pa.int32()), pa.array([row["segment"]] * len(parts), pa.int64()), pa.array([hashes[w].tobytes() for _, w in parts], pa.binary()), pa.array([bits(several[w]) for _, w in parts], pa.binary())], names=["bucket", "segment", "hashes", "several"])

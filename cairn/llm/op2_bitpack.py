@@ -109,7 +109,7 @@ def write_packed(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabu
             yield row()
 
     ordered = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    batches(ordered, encode, FILE).write.option("compression", "none").parquet(path)
+    batches(ordered, encode, FILE, 4000).write.option("compression", "none").parquet(path)
 
 
 def read_packed(spark: SparkSession, path: str) -> DataFrame:

@@ -159,7 +159,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
             for batch in slices(whole, 8 << 20):
                 yield pa.record_batch([batch.column(0), pa.array(encoder(ranks, pattern).encode(batch.column(1)), pa.binary())], names=["doc_id", "ids"])
 
-    return batches(texts(docs), rows, "doc_id long, ids binary")
+    return batches(texts(docs), rows, "doc_id long, ids binary", 4000)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,7 +177,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
                 decoded = [hashlib.sha256(x).hexdigest() for x in own.joined(ids, own.bytes, b"")]
                 yield pa.record_batch([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(listed, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return batches(encode(documents(spark, sf_dir), ranks, pattern), digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return batches(encode(documents(spark, sf_dir), ranks, pattern), digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", 4000)
 
 
 QUERIES = {"op7_prefix_bpe": query}
