@@ -173,15 +173,18 @@ def differ(a: Column, b: Column) -> Column:
 
 def links(prints: DataFrame, groups: list[tuple[int, int, list[int]]], tau: int = TAU, hot: int = HOT) -> DataFrame:
     """(seed, a, b): links between different fingerprints of one seed, enough of them to connect all that differ in at most
-    tau bits, and none between others. `prints`: seed, fp, each pair once."""
-    fp = F.col("fp")
-    exact = prints.select("seed", "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("part"), F.lit(signed(mask)).alias("mask")) for i, (mask, _, _) in enumerate(groups)])).alias("g")).select("seed", "fp", "g.part", fp.bitwiseAND(F.col("g.mask")).alias("key"))
+    tau bits, and none between others. `prints`: seed, fp, each pair once; with `root`, links between those of one root, which
+    are connected already, may be missing."""
+    fp, own = F.col("fp"), ["seed", "fp", "root"]
+    prints = prints if "root" in prints.columns else prints.withColumn("root", fp)
+    masks = F.array(*[F.struct(F.lit(i).alias("part"), F.lit(signed(mask)).alias("mask")) for i, (mask, _, _) in enumerate(groups)])
+    exact = prints.select(*own, F.explode(masks).alias("g")).select(*own, "g.part", fp.bitwiseAND(F.col("g.mask")).alias("key"))
     near = exact.withColumn("k", F.lit(0))
     for i, (mask, t, bits) in enumerate(groups):
         for k in range(1, t + 1):
             flip = F.explode(F.array(*[F.lit(x) for x in flips(bits, k)]))
             key = fp.bitwiseAND(F.lit(signed(mask))).bitwiseXOR(F.col("flip"))
-            near = near.unionByName(prints.select("seed", "fp", flip.alias("flip")).select("seed", "fp", F.lit(i).alias("part"), key.alias("key"), F.lit(k).alias("k")))
+            near = near.unionByName(prints.select(*own, flip.alias("flip")).select(*own, F.lit(i).alias("part"), key.alias("key"), F.lit(k).alias("k")))
     place = ["seed", "part", "key"]
     crowded = kept(exact.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).drop("n"), "hot")
     any_hot = not crowded.isEmpty()
@@ -189,7 +192,7 @@ def links(prints: DataFrame, groups: list[tuple[int, int, list[int]]], tau: int
     a, b = cold.alias("a"), near.alias("b")
     met = (F.col("a.seed") == F.col("b.seed")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.key") == F.col("b.key"))
     once = F.when(F.col("b.k") == 0, F.col("a.fp") < F.col("b.fp")).otherwise(F.col("a.fp") != F.col("b.fp"))
-    found = a.join(b, met & once & (differ(F.col("a.fp"), F.col("b.fp")) <= tau)).select("a.seed", F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    found = a.join(b, met & once & (F.col("a.root") != F.col("b.root")) & (differ(F.col("a.fp"), F.col("b.fp")) <= tau)).select("a.seed", F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
     if any_hot:
         found = found.unionByName(meeting_points(near.join(crowded, place, "left_semi"), groups, tau))
     return found
@@ -269,11 +272,20 @@ def repeats(docs: DataFrame, count: int, tau: int = TAU, shingle: int = SHINGLE,
     one = classes.filter("seed = 0").select("fp")  # all seeds' bits are alike in kind, so one plan serves
     total = one.count()
     groups = design(one, total, tau) if total else [((1 << 32) - 1, 1, list(range(32))), (((1 << 32) - 1) << 32, 1, list(range(32, 64)))]
-    found = links(classes.select("seed", "fp"), groups, tau, hot)
-    first = lambda name: classes.select("seed", F.col("fp").alias(name), F.col("first").alias(f"{name}_first"))
-    linked = found.join(first("a"), ["seed", "a"]).join(first("b"), ["seed", "b"]).select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))
-    equal = own.join(classes, ["seed", "fp"]).select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    return components(linked.unionByName(equal).filter("a <> b")).filter("node <> root").select(F.col("node").alias("doc_id"))
+
+    def edges(classes: DataFrame, seeds: str) -> DataFrame:
+        """(a, b) between documents, by the fingerprints of some seeds; `classes`: seed, fp, first, root."""
+        first = lambda name: classes.select("seed", F.col("fp").alias(name), F.col("first").alias(f"{name}_first"))
+        found = links(classes.select("seed", "fp", "root"), groups, tau, hot)
+        linked = found.join(first("a"), ["seed", "a"]).join(first("b"), ["seed", "b"]).select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))
+        equal = own.filter(seeds).join(classes, ["seed", "fp"]).select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+        return linked.unionByName(equal).filter("a <> b")
+
+    # the first seed connects most of a large group; the others then need not link what is connected
+    one = kept(components(edges(classes.filter("seed = 0").withColumn("root", F.col("first")), "seed = 0")), "connected")
+    later = classes.filter("seed > 0").join(one, F.col("first") == F.col("node"), "left").select("seed", "fp", "first", F.coalesce("root", "first").alias("root"))
+    every = edges(later, "seed > 0").unionByName(one.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    return components(every).filter("node <> root").select(F.col("node").alias("doc_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
