@@ -155,14 +155,14 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, sequence:
 
         number = TaskContext.get().partitionId() << 33
         for full in it:
-            for batch in slices(full, 16 << 20):
+            for batch in slices(full, 8 << 20):
                 ids = [x + end for x in encoder(tokenizer).encode(batch.column(1))]
                 crcs = list(map(sums, ids))
                 longs = pa.list_(pa.int64())
                 yield pa.record_batch([pa.array(range(number, number + len(ids)), pa.int64()), batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([w for w, _ in crcs], longs), pa.array([r for _, r in crcs], pa.list_(longs)), pa.array(ids, pa.binary())], names=["doc", "doc_id", "n", "whole", "rests", "ids"])
                 number += len(ids)
 
-    batches(texts(docs), encode, DOCS, 4000).write.parquet(path)
+    batches(texts(docs), encode, DOCS, 2000).write.parquet(path)
 
 
 def pieces_of(encoded: DataFrame, sequence: int, level: int, step: int) -> DataFrame:
