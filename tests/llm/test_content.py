@@ -327,6 +327,21 @@ def test_near_duplicate_stage(stages):
     assert gone and set(after) == set(before) - gone and all(after[i] == before[i] for i in after)
 
 
+def test_near_duplicate_stage_finds_edited_documents(spark, documents):
+    """Copies of long texts with 3 % of their 5-word shingles changed: a Jaccard similarity of over 0.9."""
+    r = random.Random(17)
+    values = []
+    for i in range(60):
+        words = [f"w{r.randrange(10**6)}" for _ in range(300)]
+        edited = list(words)
+        for at in (40, 220):
+            edited[at] = "changed"
+        values += [(i, " ".join(words), "en"), (1000 + i, " ".join(edited), "en")]
+    docs = documents(values).selectExpr("doc_id", "text", "lang", "'s' AS source", "length(text) AS n_chars")
+    left = {x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert left >= set(range(60)) and sum(1000 + i not in left for i in range(60)) >= 48
+
+
 def test_passages_stage(stages):
     before, after = collected(stages[2]), collected(stages[3])
     seen = {}
