@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh64_digest
+from xxhash import xxh64_digest, xxh128_digest
 
 from cairn.llm.common import batches, documents, kept, slices, texts
 
@@ -35,6 +35,11 @@ HOT = 2048
 SAMPLE = 2048
 #: Shingles hashed at a time.
 AT_ONCE = 1 << 17
+#: For repeats(): words of a shingle, the Jaccard similarity (a fraction) from which documents repeat one another, and bands of
+#: so many least hashes each. A pair of similarity s shares a band with a chance of 1 - (1 - s^4)^16: 0.9998 at 0.8.
+RUN, LEAST_ALIKE, BANDS, ROWS = 5, (4, 5), 16, 4
+#: What sets the mixes for the least hashes apart.
+STEPS = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * ROWS, np.uint64)
 
 
 def signed(x: int) -> int:
@@ -261,31 +266,93 @@ def near_duplicates(docs: DataFrame, tau: int = TAU, shingle: int = SHINGLE, hot
     return own.join(prints, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_set(words: list[bytes]) -> np.ndarray:
+    """The different 64-bit hashes, in order, of all runs of RUN words (of the words, if they are fewer)."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    hashes = np.frombuffer(b"".join([xxh64_digest(w, SEED) for w in words]), ">u8").astype(np.uint64)
+    n, size = max(1, len(words) - RUN + 1), min(RUN, len(words))
+    total = np.full(n, size, np.uint64)
+    for i in range(size):
+        total = remixed(total + hashes[i : i + n], i + 1)
+    return np.unique(total)
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """A key for each of BANDS bands: a hash of the least of each of its ROWS mixes of the set's hashes."""
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    for first in range(0, len(hashes), AT_ONCE // len(least)):
+        part = hashes[first : first + AT_ONCE // len(least)]
+        least = np.minimum(least, remixed(part[None, :] + STEPS[:, None], 1).min(axis=1))
+    return [signed(int.from_bytes(xxh64_digest(x.tobytes(), SEED), "big")) for x in least.reshape(BANDS, ROWS)]
+
+
+def marks(docs: DataFrame, shingle: int, count: int) -> DataFrame:
+    """doc_id, same (a digest of the row's set of shingles), fps (`count` fingerprints), bands (its band keys) for each row."""
+
+    def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in it:
+            for batch in slices(whole):
+                got = batch.column(1).to_pylist()
+                sets = [shingle_set(t.encode("utf-8", "replace").lower().split()) for t in got]
+                prints = [[signed(x) for x in several(t, count, shingle)] for t in got]
+                longs = pa.list_(pa.int64())
+                yield pa.record_batch([batch.column(0), pa.array([xxh128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array(prints, longs), pa.array(list(map(band_keys, sets)), longs)], names=["doc_id", "same", "fps", "bands"])
+
+    return batches(texts(docs), rows, "doc_id long, same binary, fps array<long>, bands array<long>")
+
+
+def alike(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of `pairs` (a, b: doc_ids) whose sets of shingles have a Jaccard similarity of LEAST_ALIKE or more, once each."""
+    pairs = kept(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+
+    def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in it:
+            for batch in slices(whole):
+                sets = [shingle_set(t.encode("utf-8", "replace").lower().split()).view(np.int64) for t in batch.column(1).to_pylist()]
+                yield pa.record_batch([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "hashes"])
+
+    sets = kept(batches(texts(docs).join(wanted, "doc_id", "left_semi"), rows, "doc_id long, hashes array<long>"), "sets")
+    own = lambda name: sets.select(F.col("doc_id").alias(name), F.col("hashes").alias(f"{name}_hashes"))
+    both, (up, down) = F.size(F.array_intersect("a_hashes", "b_hashes")), LEAST_ALIKE
+    enough = both * (up + down) >= (F.size("a_hashes") + F.size("b_hashes")) * up  # both / (a + b - both) >= up / down
+    return kept(pairs.join(own("b"), "b").join(own("a"), "a").filter(enough).select("a", "b").distinct(), "alike")
+
+
 def repeats(docs: DataFrame, count: int, tau: int = TAU, shingle: int = SHINGLE, hot: int = HOT) -> DataFrame:
     """doc_id of the documents that one with a smaller doc_id nearly repeats, once each.
 
-    Documents are linked if any of `count` fingerprints of theirs are: one fingerprint misses most pairs that are alike but
-    not nearly equal, and each further one finds a like share of those still missed. Null doc_ids are never among them; rows
-    of one doc_id are one document; an empty table gives none."""
-    own = kept(fingerprints(docs.filter(F.col("doc_id").isNotNull()), shingle, count).select("doc_id", F.posexplode("fps").alias("seed", "fp")), "fingerprints")
-    classes = kept(own.groupBy("seed", "fp").agg(F.min("doc_id").alias("first")), "classes")
+    Documents are linked if their sets of RUN-word shingles are equal, or have a Jaccard similarity of LEAST_ALIKE or more;
+    that is verified for each pair that shares a band of least hashes with the smallest doc_id of the band's key, or that any
+    of `count` fingerprints links. What links reach belongs together. Null doc_ids are never among them; rows of one doc_id
+    are one document; an empty table gives none."""
+    docs = docs.filter(F.col("doc_id").isNotNull())
+    own = kept(marks(docs, shingle, count), "marks")
+    firsts = own.groupBy("same").agg(F.min("doc_id").alias("first"))
+    copies = own.join(firsts, "same").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).filter("a <> b")
+    texts_once = kept(own.join(firsts, "same").filter("doc_id = first").dropDuplicates(["same"]).select("first", "fps", "bands"), "once")
+
+    # bands link each member to one, so what they connect grows with the number of documents only
+    banded = texts_once.select("first", F.posexplode("bands").alias("band", "key"))
+    centres = banded.groupBy("band", "key").agg(F.min("first").alias("a"), F.max("first").alias("most")).filter("a < most").drop("most")
+    near = alike(docs, banded.join(centres, ["band", "key"]).select("a", F.col("first").alias("b")))
+
+    # fingerprints then need not link what is connected
+    connected = kept(components(near), "connected")
+    prints = texts_once.select("first", F.posexplode("fps").alias("seed", "fp")).join(connected, F.col("first") == F.col("node"), "left").select("seed", "fp", "first", F.coalesce("root", "first").alias("root"))
+    prints = kept(prints, "prints")
+    classes = kept(prints.groupBy("seed", "fp").agg(F.min(F.struct("first", "root")).alias("x")).select("seed", "fp", "x.first", "x.root"), "classes")
     one = classes.filter("seed = 0").select("fp")  # all seeds' bits are alike in kind, so one plan serves
     total = one.count()
     groups = design(one, total, tau) if total else [((1 << 32) - 1, 1, list(range(32))), (((1 << 32) - 1) << 32, 1, list(range(32, 64)))]
-
-    def edges(classes: DataFrame, seeds: str) -> DataFrame:
-        """(a, b) between documents, by the fingerprints of some seeds; `classes`: seed, fp, first, root."""
-        first = lambda name: classes.select("seed", F.col("fp").alias(name), F.col("first").alias(f"{name}_first"))
-        found = links(classes.select("seed", "fp", "root"), groups, tau, hot)
-        linked = found.join(first("a"), ["seed", "a"]).join(first("b"), ["seed", "b"]).select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))
-        equal = own.filter(seeds).join(classes, ["seed", "fp"]).select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-        return linked.unionByName(equal).filter("a <> b")
-
-    # the first seed connects most of a large group; the others then need not link what is connected
-    one = kept(components(edges(classes.filter("seed = 0").withColumn("root", F.col("first")), "seed = 0")), "connected")
-    later = classes.filter("seed > 0").join(one, F.col("first") == F.col("node"), "left").select("seed", "fp", "first", F.coalesce("root", "first").alias("root"))
-    every = edges(later, "seed > 0").unionByName(one.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    return components(every).filter("node <> root").select(F.col("node").alias("doc_id"))
+    first = lambda name: classes.select("seed", F.col("fp").alias(name), F.col("first").alias(f"{name}_first"))
+    found = links(classes.select("seed", "fp", "root"), groups, tau, hot)
+    linked = found.join(first("a"), ["seed", "a"]).join(first("b"), ["seed", "b"]).select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))
+    least = classes.select("seed", "fp", F.col("first").alias("b"), F.col("root").alias("b_root"))
+    equal = prints.join(least, ["seed", "fp"]).filter("root <> b_root").select(F.col("first").alias("a"), "b")
+    more = alike(docs, linked.unionByName(equal))
+    return components(near.unionByName(more).unionByName(copies)).filter("node <> root").select(F.col("node").alias("doc_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,6 +82,24 @@ def test_repeats_over_several_fingerprints(documents):
     assert op4_simhash_gph.repeats(documents([]), 2).collect() == []
 
 
+def test_repeats_are_those_of_exact_similarity(documents, rows):
+    def shingles(text):
+        words = WORDS.findall((text or "").translate(FOLD))
+        return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+    sets = {i: shingles(t) for i, t, _ in rows}
+    root = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            a, b = sets[i], sets[j]
+            if j < i and root[i] != root[j] and (a == b or 5 * len(a & b) >= 4 * len(a | b)):
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    want = {i for i in root if root[i] != i}
+    assert any(sets[i] != sets[root[i]] for i in want)
+    assert sorted(x.doc_id for x in op4_simhash_gph.repeats(documents(rows), 8).collect()) == sorted(want)
+
+
 @pytest.fixture(scope="module")
 def cloud():
     """Fingerprints around three centres, each in reach of many, and others alone."""
