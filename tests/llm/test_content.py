@@ -312,6 +312,13 @@ def test_language_stage_keeps_clean_documents(stages):
     assert len(after) >= 0.98 * len(before) and all(after[i] == before[i] for i in after)
 
 
+def test_language_stage_without_labels(spark, documents):
+    values = [(1, "words enough", None), (2, "12 3.4 ² Ⅷ", None), (3, None, None), (4, "", None), (5, "été 日本", None), (None, "no id", None)]
+    docs = documents(values).selectExpr("doc_id", "text", "lang", "'s' AS source", "cast(length(text) AS long) AS n_chars")
+    left = corpus_pipeline.language(spark, docs, "")
+    assert {r.doc_id for r in left.collect()} == {1, 5, None} and left.columns == corpus_pipeline.COLUMNS
+
+
 def test_near_duplicate_stage(stages):
     before, after = collected(stages[1]), collected(stages[2])
     prints = {i: op4_simhash_gph.several(r.text, corpus_pipeline.FINGERPRINTS) for i, r in before.items()}
