@@ -2,16 +2,17 @@
 
 The pre-tokenizers of these vocabularies decide where to split by looking at white space and what touches it, so a text cut
 before a run of white space that follows something else has the ids of its parts, in order. Most stretches come again and
-again: a worker keeps the ids of those it has met (a bounded number of them) and encodes the new ones only.
+again: a worker keeps the ids of those it has met (a bounded number of them) and encodes the new ones only. A text in which
+a special token's string stands goes to the library whole, as the library finds those before it splits.
 """
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import unicodedata
 from collections.abc import Set
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,13 @@ class Remembering:
         """Whether a folded stretch may encode otherwise than the text's own."""
         return False
 
+    def whole(self, texts: pa.Array) -> pa.Array | None:
+        """Texts that must not be cut, if there may be any; they are left to `_whole`."""
+        return None
+
+    def _whole(self, text: str) -> bytes:
+        raise NotImplementedError
+
     def _meet(self, met: list[str]) -> list[bytes]:
         """The ids of each of `met`, which are all different."""
         if len(self.known) > self.kept:
@@ -80,6 +88,9 @@ class Remembering:
         again = {*np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(odd[codes])])[ends])).tolist(), *pc.indices_nonzero(pc.match_substring(texts, "\0")).to_pylist()}
         for i in again:
             out[i] = self._one(texts[i].as_py())
+        if (whole := self.whole(texts)) is not None:
+            for i in pc.indices_nonzero(whole).to_pylist():
+                out[i] = self._whole(texts[i].as_py())
         return out
 
 
@@ -92,7 +103,7 @@ class Encoder(Remembering):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: How many bytes of the normalised text each token stands for: its alphabet has a character for each byte.
         self.spans = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
@@ -107,6 +118,15 @@ class Encoder(Remembering):
         """A mark may combine with a small letter but not with its capital, so folding comes too early for it."""
         return self.drops_white and not unicodedata.is_normalized("NFC", stretch)
 
+    def whole(self, texts: pa.Array) -> pa.Array | None:
+        """Those that have a special token's string, or would after folding."""
+        if not self.special:
+            return None
+        return functools.reduce(pc.or_, [pc.match_substring(texts, t, ignore_case=self.drops_white) for t in self.special])
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def _sizes(self, new: list[str]) -> list[int]:
         """Bytes of each stretch as the library normalises it."""
         if self.drops_white:
@@ -135,7 +155,7 @@ class Encoder(Remembering):
         return out
 
 
-@cache
+@functools.cache
 def encoder(path: str) -> Encoder:
     """This worker's encoder of the file; it lives as long as the worker."""
     return Encoder(path)

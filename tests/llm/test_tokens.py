@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 from cairn.llm import common, op2_bitpack, op7_prefix_bpe, op9_cutting_stock
 from cairn.llm.tokens import Encoder
 
-PARTS = ["a", "E", "t", "h", " ", "  ", "\n", "é", "É", "日", "本", "0", "1", "!", ".", "\U0001f600", "я", "Σ", "İ", "ß", "ﬁ", "́", "\t", "\x1c", "\x85", "\xa0", "　", "\0", "'s", "'t", "ing", "tion", "<|endoftext|>", "</w>", "\r\n", "ǅ", "H\u0331", "I\u0307", "E\u0301", "T\u0308", "K", "Å"]
+PARTS = ["a", "E", "t", "h", " ", "  ", "\n", "é", "É", "日", "本", "0", "1", "!", ".", "\U0001f600", "я", "Σ", "İ", "ß", "ﬁ", "́", "\t", "\x1c", "\x85", "\xa0", "　", "\0", "'s", "'t", "ing", "tion", "<|endoftext|>", "<|EndOfText|>", "<|startoftext|>", "<|", "</w>", "\r\n", "ǅ", "H\u0331", "I\u0307", "E\u0301", "T\u0308", "K", "Å"]
 
 
 def random_texts(n, seed=0):
@@ -26,7 +26,6 @@ def random_texts(n, seed=0):
 
 def library(file):
     t = Tokenizer.from_file(P.path(file))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
