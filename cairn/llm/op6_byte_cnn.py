@@ -7,21 +7,24 @@ labelled rows. A text is cut into windows over its whole length, and its probabi
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.common import batches, ddl, documents, slices
 
 WIDTHS, FILTERS, EMBEDDED, WINDOW = (2, 3, 4), 12, 6, 256
 WIDEST = max(WIDTHS)
-#: The sample that is learned from: labelled rows of each language (about), characters of a row, and languages at most (the most frequent).
-SAMPLE_ROWS, SAMPLE_CHARS, LANGUAGES = 500, 2048, 256
-STEPS, BATCH = 400, 128
+#: The sample that is learned from: labelled rows of a language, characters of a row, and characters in all; with many languages
+#: each gets fewer rows, then shorter ones, but never less than a row of LEAST_CHARS, as the network itself grows with their number.
+SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_TOTAL, LEAST_CHARS = 500, 2048, 16 << 20, 64
+#: Training steps at least, and windows that each language is seen in about.
+STEPS, BATCH, SEEN = 400, 128, 2000
 ALPHANUMERIC = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
 LOWER = bytes(range(256)).lower()
@@ -92,9 +95,10 @@ def windows_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, np.repeat(np.arange(len(data)), counts), np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
 
 
-def train(rows: list[tuple[str, str]], steps: int = STEPS, seed: int = 0) -> Net:
+def train(rows: list[tuple[str, str]], steps: int | None = None, seed: int = 0) -> Net:
     """A network for (text, language) rows. Each step takes as many windows of each language, from random places."""
     languages = sorted({lang for _, lang in rows})
+    steps = steps or max(STEPS, len(languages) * SEEN // BATCH)
     net, rng = Net(languages, seed), np.random.default_rng(seed)
     if len(languages) < 2:
         return net
@@ -145,22 +149,39 @@ def held_out() -> F.Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
 
-def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Net:
-    """A network from about `rows` rows of each language that may be learned from, `chars` characters of each, chosen by a hash."""
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+def sample_size(languages: int, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, total: int = SAMPLE_TOTAL) -> tuple[int, int]:
+    """(rows of each language, characters of each row) that keep a sample within `total` characters."""
+    chars = max(LEAST_CHARS, min(chars, total // max(1, languages)))
+    return max(1, min(rows, total // (max(1, languages) * chars))), chars
+
+
+def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, total: int = SAMPLE_TOTAL) -> Net:
+    """A network for every language of the rows that may be learned from.
+
+    It learns from a bounded sample: see sample_size. Of each language those rows are taken whose hash of doc_id and text is
+    least, so neither the order of rows nor scheduling plays a part, and rows that are repeated count once. Rows with a null
+    doc_id, text or lang are not learned from; where there are no others, and for an empty table, the network knows no language."""
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    counts = known.groupBy("lang").count().collect()
     if not counts:
         return Net([])
-    share = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, min(1.0, rows / n))])
-    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit("draw")), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit("place")), F.greatest(F.lit(1), F.length("text") - chars)).cast("int") + 1
-    sample = known.filter(drawn).select(F.col("text").substr(place, F.lit(chars)), "lang").limit(2 * rows * len(counts))
-    return train(sorted(map(tuple, sample.collect())))
+    rows, chars = sample_size(len(counts), rows, chars, total)
+    # twice as many are drawn as are wanted, for a share of the hashes only tells about how many that is
+    share = F.from_json(F.lit(json.dumps({lang: min(1.0, 2 * rows / n) for lang, n in counts})), "map<string, double>")
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("draw")), F.lit(1 << 40))
+    place = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.lit(1), F.length("text") - chars)).cast("int") + 1
+    drawn = known.withColumn("draw", draw).filter(F.col("draw") < share[F.col("lang")] * (1 << 40)).select("lang", "draw", F.col("text").substr(place, F.lit(chars)).alias("piece"))
+    once = drawn.groupBy("lang", "draw").agg(F.min("piece").alias("piece"))
+    first = once.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).filter(F.col("nth") <= rows)
+    return train(sorted(map(tuple, first.select("piece", "lang").collect())))
 
 
 def identify(docs: DataFrame, net: Net, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for each row of `docs`, repeated ones and null ids included, and the columns `keep`
-    as they are; others are ignored."""
+    """doc_id, held_out, lang_pred, score for each row of `docs`, and the columns `keep` as they are; others are ignored.
+
+    A null or empty text, or one without a letter, is UNDETERMINED with score 0. Texts are read whole, however long. Repeated
+    rows have a row each; a null doc_id is not held out. Of languages that are equally probable the first in order is taken.
+    An empty table gives none."""
     names = ["doc_id", "held_out", "lang_pred", "score", *keep]
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
