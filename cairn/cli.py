@@ -22,17 +22,13 @@ HELP = """Statements end with a semicolon:
 Others: \\dt or \\d (tables), \\d name (columns of a table), help, quit, exit"""
 
 
-def several(n: int, what: str) -> str:
-    return f"{n} {what}{'' if n == 1 else 's'}"
-
-
 class Shell:
-    """terminal: whether results are for people (boxed) or for programs (tab-separated)."""
+    """terminal: whether results are for people (boxed) or for programs (tab-separated); backslash commands are always boxed."""
 
     def __init__(self, engine: Engine, write: Callable[[str], object], terminal: bool):
         self.engine, self.write, self.terminal = engine, write, terminal
 
-    def table(self, names: list[str], rows) -> int:
+    def table(self, names: list[str], rows, framed: bool) -> int:
         rows, count = iter(rows), 0
 
         def counted() -> Iterator:
@@ -41,7 +37,7 @@ class Shell:
                 count += 1
                 yield r
 
-        for line in (format.boxed if self.terminal else format.tsv)(names, counted()):
+        for line in (format.boxed if framed else format.tsv)(names, counted()):
             self.write(line + "\n")
         return count
 
@@ -57,13 +53,13 @@ class Shell:
             begun = time.monotonic()
             result = self.engine.execute(text)
             if isinstance(result, DataFrame):
-                n = self.table(result.columns, result.toLocalIterator())
-                said = f"({several(n, 'row')} returned in "
+                n = self.table(result.columns, result.toLocalIterator(), self.terminal)
+                said = f"({n} {'row' if n == 1 else 'rows'} returned in "
             elif isinstance(result, Created):
                 self.write(f"Table created (id={result.table_id}).\n")
                 return
             else:
-                said = f"{several(result.rows, 'row')} inserted ("
+                said = f"{result.rows} row(s) inserted ("
             self.write(f"{said}{time.monotonic() - begun:.3f}s)\n")
         except EngineError as e:
             self.write(f"Error: {e}\n")
@@ -76,13 +72,13 @@ class Shell:
         if command == "\\d" and name:
             columns = self.engine.catalog.described(name)
             if columns is None:
-                self.write(f"No table named {name!r}.\n")
+                self.write(f"Error: unknown table '{name}'\n")
             else:
-                self.table(["column", "type", "ordinal"], [(n, shown(t), i) for n, t, i in columns])
+                self.table(["column", "type", "ordinal"], [(n, shown(t), i) for n, t, i in columns], True)
         elif command in ("\\d", "\\dt"):
             tables = self.engine.catalog.listed()
             if tables:
-                self.table(["table", "columns", "rows"], tables)
+                self.table(["table", "columns", "rows"], tables, True)
             else:
                 self.write("No tables.\n")
         else:

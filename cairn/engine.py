@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.errors import BindError
+from cairn.errors import BindError, EngineError
 from cairn.plans import syntax as S
 from cairn.plans.binder import Binder
 from cairn.plans.parser import parse
@@ -42,18 +42,24 @@ class Engine:
     def table(self, name: str) -> DataFrame:
         return self.binder.table(name)
 
+    def _checked(self) -> Binder:
+        """The binder, if the session keeps what the dialect promises: without ANSI mode, overflow would wrap."""
+        if self.spark.conf.get("spark.sql.ansi.enabled") != "true":
+            raise EngineError("spark.sql.ansi.enabled must be true, or overflow is not an error")
+        return self.binder
+
     def sql(self, text: str) -> DataFrame:
         """The DataFrame of a SELECT; nothing runs yet."""
         statement = parse(text)
         if not isinstance(statement, S.Select):
             raise BindError("sql() takes a SELECT; execute() takes every statement")
-        return self.binder.select(statement)
+        return self._checked().select(statement)
 
     def execute(self, statement: str | S.Statement) -> DataFrame | Created | Inserted:
         """Any statement, as text or as a tree."""
         s = parse(statement) if isinstance(statement, str) else statement
         if isinstance(s, S.Select):
-            return self.binder.select(s)
+            return self._checked().select(s)
         if isinstance(s, S.CreateTable):
             return Created(self.catalog.create(s.name, self.binder.schema(s)))
         rows = self.binder.rows(s, self.binder.table(s.table).schema)

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import islice
+
+#: Rows of a page of boxed output.
+PAGE = 1000
 
 
 def value(x: object) -> str:
@@ -19,12 +23,15 @@ def tsv(names: list[str], rows: Iterable[Iterable[object]]) -> Iterator[str]:
         yield "\t".join(map(value, row))
 
 
-def boxed(names: list[str], rows: Iterable[Iterable[object]]) -> list[str]:
-    """A table in a frame, each column as wide as its widest cell; `Empty set.` without rows."""
-    cells = [[value(x) for x in row] for row in rows]
-    if not cells:
-        return ["Empty set."]
-    widths = [max(len(r[i]) for r in [names, *cells]) for i in range(len(names))]
-    rule = "+" + "+".join("-" * (w + 2) for w in widths) + "+"
-    line = lambda r: "| " + " | ".join(c.ljust(w) for c, w in zip(r, widths, strict=True)) + " |"
-    return [rule, line(names), rule, *map(line, cells), rule]
+def boxed(names: list[str], rows: Iterable[Iterable[object]], page: int = PAGE) -> Iterator[str]:
+    """Tables in frames of at most `page` rows each as they come, each column as wide as its widest cell on the page, so what is
+    held does not grow with the result; `Empty set.` without rows."""
+    rows, none = iter(rows), True
+    while cells := [[value(x) for x in row] for row in islice(rows, page)]:
+        none = False
+        widths = [max(len(r[i]) for r in [names, *cells]) for i in range(len(names))]
+        rule = "+" + "+".join("-" * (w + 2) for w in widths) + "+"
+        line = lambda r, widths=widths: "| " + " | ".join(c.ljust(w) for c, w in zip(r, widths, strict=True)) + " |"
+        yield from (rule, line(names), rule, *map(line, cells), rule)
+    if none:
+        yield "Empty set."

@@ -30,7 +30,7 @@ def family(kind: T.DataType) -> str:
 
 def shown(kind: T.DataType) -> str:
     """The dialect's name of a type, or Spark's where it has none."""
-    names = {"integer": INTEGER, "float": FLOAT, "string": VARCHAR}
+    names = {"integer": "INTEGER", "float": "FLOAT", "string": "VARCHAR"}
     return names.get(kind.typeName(), kind.simpleString())
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.engine import Engine
+from cairn.errors import EngineError
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -133,6 +137,64 @@ def over_shipped(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+#: Small tables with NULLs and odd numbers, which the given tables lack: columns and rows.
+FIXTURES: dict[str, tuple[str, list[tuple]]] = {
+    "nums": ("k int, i int, f float", [(1, 1, 1.0), (1, None, None), (None, 5, 2.5), (None, 6, None), (2, None, None), (3, -7, 0.5), (3, 0, -1.5)]),
+    "users": ("id int, name string", [(1, "alice"), (2, "bob"), (2, "bobby"), (None, "nobody"), (4, None)]),
+    "visits": ("id int, user_id int", [(10, 1), (11, 1), (12, 2), (13, None), (14, 9), (None, 4)]),
+    "odds": ("id int, x double", [(1, 1.0), (2, -0.0), (3, 0.0), (4, math.inf), (5, -math.inf), (6, math.nan), (7, None), (8, 5.5)]),
+    "strings": ("s string", [("Zed",), ("abc",), ("",), ("prefix-shared-1",), ("prefix-shared-2",), ("\u00e9t\u00e9",), (None,)]),
+    "nothing": ("i int, f float, s string", []),
+}
+#: As TEXTS, over FIXTURES.
+FIXTURE_TEXTS: dict[str, tuple[str, str | None]] = {
+    "null_join_keys": ("SELECT name, visits.id AS visit FROM users JOIN visits ON users.id = user_id", None),
+    "null_join_comma": ("SELECT a.id AS one, b.id AS other FROM visits a, visits b WHERE a.user_id = b.user_id AND a.id <> b.id", None),
+    "null_agg_int": ("SELECT COUNT(*) AS n, COUNT(i) AS m, SUM(i) AS s, AVG(i) AS a, MIN(i) AS x, MAX(i) AS y FROM nums", "SELECT COUNT(*) AS n, COUNT(i) AS m, CAST(SUM(i) AS BIGINT) AS s, AVG(i) AS a, MIN(i) AS x, MAX(i) AS y FROM nums"),
+    "null_agg_float": ("SELECT COUNT(f) AS m, SUM(f) AS s, AVG(f) AS a, MIN(f) AS x, MAX(f) AS y FROM nums", "SELECT COUNT(f) AS m, SUM(CAST(f AS DOUBLE)) AS s, AVG(CAST(f AS DOUBLE)) AS a, MIN(f) AS x, MAX(f) AS y FROM nums"),
+    "null_agg_varchar": ("SELECT COUNT(*) AS n, COUNT(s) AS m, MIN(s) AS x, MAX(s) AS y FROM strings", None),
+    "null_agg_none_left": ("SELECT COUNT(i) AS m, SUM(i) AS s, AVG(f) AS a, MIN(f) AS x, MAX(i) AS y FROM nums WHERE k = 2", "SELECT COUNT(i) AS m, CAST(SUM(i) AS BIGINT) AS s, AVG(CAST(f AS DOUBLE)) AS a, MIN(f) AS x, MAX(i) AS y FROM nums WHERE k = 2"),
+    "null_agg_no_rows": ("SELECT COUNT(*) AS n, SUM(i) AS s, AVG(f) AS a, MIN(s) AS x FROM nothing", "SELECT COUNT(*) AS n, CAST(SUM(i) AS BIGINT) AS s, AVG(CAST(f AS DOUBLE)) AS a, MIN(s) AS x FROM nothing"),
+    "null_groups": ("SELECT k, COUNT(*) AS n, COUNT(i) AS m, SUM(i) AS s, MIN(f) AS x FROM nums GROUP BY k", "SELECT k, COUNT(*) AS n, COUNT(i) AS m, CAST(SUM(i) AS BIGINT) AS s, MIN(f) AS x FROM nums GROUP BY k"),
+    "null_groups_two_keys": ("SELECT k, f, COUNT(*) AS n FROM nums GROUP BY k, f", None),
+    "null_having": ("SELECT k, COUNT(*) AS n FROM nums GROUP BY k HAVING k > 1 OR k < 0", None),
+    "null_logic_or": ("SELECT i FROM nums WHERE i > 0 OR f > 0 OR k = 2", None),
+    "null_logic_and": ("SELECT k, i FROM nums WHERE NOT (i > 0 AND f > 0)", None),
+    "null_arithmetic": ("SELECT k, i + 1 AS a, i * k AS b, f - 0.5 AS c, -7 / i AS d FROM nums", "SELECT k, CAST(i + 1 AS INTEGER) AS a, CAST(i * k AS INTEGER) AS b, CAST(f - CAST(0.5 AS FLOAT) AS FLOAT) AS c, CAST(CASE WHEN i <> 0 THEN trunc(-7 / i) END AS INTEGER) AS d FROM nums"),
+    "nan_compares_greatest": ("SELECT id FROM odds WHERE x > 5", None),
+    "nan_equals_itself": ("SELECT id FROM odds WHERE x = x", None),
+    "nan_not_less": ("SELECT id FROM odds WHERE NOT x < 5.5", None),
+    "zeros_are_equal": ("SELECT a.id AS one, b.id AS other FROM odds a JOIN odds b ON a.x = b.x WHERE a.x = 0", None),
+    "nan_extremes": ("SELECT MIN(x) AS low, COUNT(x) AS n FROM odds WHERE x < 1 OR x > 5", None),
+    "bytes_order_strings": ("SELECT s FROM strings WHERE s >= 'abc' AND s <> 'prefix-shared-1'", None),
+    "default_names": ("SELECT k, COUNT(*), COUNT(i), SUM(i), MAX(f), k + 1 FROM nums GROUP BY k", 'SELECT k, COUNT(*) AS "count", COUNT(i) AS count_1, CAST(SUM(i) AS BIGINT) AS "sum", MAX(f) AS "max", CAST(k + 1 AS INTEGER) AS _c5 FROM nums GROUP BY k'),
+    "default_names_star": ("SELECT *, i, i - 1 FROM nums", "SELECT k, i, f, i AS i_1, CAST(i - 1 AS INTEGER) AS _c4 FROM nums"),
+    "strict_null_logic": ("SELECT k, i, f FROM nums WHERE i > 0 OR f > 0 OR k = 2", "SELECT k, i, f FROM nums WHERE k IS NOT NULL AND i IS NOT NULL AND f IS NOT NULL AND (i > 0 OR f > 0 OR k = 2)"),
+}
+#: Statements, and rows of each, that the queries over inserted rows load.
+STATEMENTS, EACH = 98, 60
+
+
+def fixture_sql(name: str) -> str:
+    """A table of FIXTURES for a WITH clause of DuckDB."""
+    schema, rows = FIXTURES[name]
+    columns = [c.strip().split() for c in schema.split(",")]
+    cell = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else f"'{v}'"
+    kinds = {"int": "INTEGER", "float": "FLOAT", "double": "DOUBLE", "string": "VARCHAR"}
+    each = [" , ".join(f"CAST({cell(v)} AS {kinds[k]}) AS {n}" for v, (n, k) in zip(r, columns, strict=True)) for r in rows or [(None,) * len(columns)]]
+    return f"{name} AS (" + " UNION ALL ".join(f"SELECT {x}" for x in each) + (")" if rows else " LIMIT 0)")
+
+
+def over_fixtures(name: str, text: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        engine = Engine(spark, strict_null_logic=name.startswith("strict"))
+        for t, (schema, rows) in FIXTURES.items():
+            engine.register(t, spark.createDataFrame(rows, schema))
+        return engine.sql(text)
+
+    return run
+
+
 def create_insert_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CREATE TABLE, INSERT and SELECT in a session of their own."""
     engine = Engine(spark)
@@ -142,8 +204,36 @@ def create_insert_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.sql("SELECT id, name, score FROM users WHERE id > 1")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: over_shipped(t) if "FROM shipped" in t else of(t) for n, (t, _) in TEXTS.items()} | {"create_insert_select": create_insert_select}
+def new_folder(spark: SparkSession) -> str:
+    """For a table's files: in spark.checkpoint.dir, or in a temporary folder where there is one machine only."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise EngineError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{shared.rstrip('/')}/base-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="base-")
+
+
+def inserted(spark: SparkSession, path: str | None, statements: int = STATEMENTS, each: int = EACH) -> Engine:
+    """An engine whose table `events` has rows from many INSERT statements; with a path, in a folder, opened again afterwards."""
+    engine = Engine(spark, path)
+    engine.execute("CREATE TABLE events (id int4, category varchar, amount float4)")
+    for s in range(statements):
+        rows = (f"({i}, 'cat{i % 20}', {i % 1000}.5)" for i in range(s * each, (s + 1) * each))
+        engine.execute("INSERT INTO events VALUES " + ", ".join(rows))
+    return Engine(spark, path) if path else engine
+
+
+INSERTED = "SELECT category, COUNT(*) AS n, SUM(amount) AS total, MAX(id) AS last FROM events WHERE id > 10 GROUP BY category"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: over_shipped(t) if "FROM shipped" in t else of(t) for n, (t, _) in TEXTS.items()}
+QUERIES |= {n: over_fixtures(n, t) for n, (t, _) in FIXTURE_TEXTS.items()} | {
+    "create_insert_select": create_insert_select,
+    "insert_many": lambda spark, sf_dir: inserted(spark, None).sql(INSERTED),
+    "insert_folder": lambda spark, sf_dir: inserted(spark, new_folder(spark)).sql(INSERTED),
+}
+INSERTED_SQL = f"SELECT 'cat' || (i % 20) AS category, COUNT(*) AS n, SUM(CAST(i % 1000 AS DOUBLE) + 0.5) AS total, CAST(MAX(i) AS INTEGER) AS last FROM range({STATEMENTS * EACH}) AS t (i) WHERE i > 10 GROUP BY i % 20"
 ORACLE_SQL: dict[str, str] = {n: sql or t for n, (t, sql) in TEXTS.items()} | {
     "group_multi": "SELECT l_returnflag, l_linestatus, COUNT(*) AS n, CAST(MIN(year(l_shipdate) * 10000 + month(l_shipdate) * 100 + day(l_shipdate)) AS INTEGER) AS d FROM lineitem GROUP BY l_returnflag, l_linestatus",
     "create_insert_select": "SELECT CAST(id AS INTEGER) AS id, name, CAST(score AS FLOAT) AS score FROM (VALUES (2, 'bob', 2.5), (15, 'it''s', -0.25)) AS users (id, name, score)",
+    "insert_many": INSERTED_SQL,
+    "insert_folder": INSERTED_SQL,
 }
+ORACLE_SQL |= {n: "WITH " + ", ".join(map(fixture_sql, FIXTURES)) + f" {sql or t}" for n, (t, sql) in FIXTURE_TEXTS.items()}

@@ -1,118 +1,155 @@
 """Tables by name: registered Parquet data, DataFrames, and the session's own append-only tables.
 
-With a folder, own tables are Parquet folders in it, and `catalog.json` holds their ids, names and schemas, so a later
-session on the same folder finds them. Without one they live in the session. Files are reached by Hadoop's file system
-alone: the folder may be in any store that Spark can write to.
+With a folder, own tables are Parquet folders in it, and a journal in it lists them, so a later session on the same folder
+finds them. Tables' folders have names that never come again: whatever a session that dies leaves behind, the list before its
+last change stays readable, and no table's rows are written over. Without a folder own tables live in the session. Files are
+reached by Hadoop's file system alone: the folder may be in any store that Spark can write to.
 """
 
 from __future__ import annotations
 
-import json
-from dataclasses import dataclass
+import uuid
+import weakref
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from cairn.errors import BindError
+from cairn.errors import BindError, EngineError
+from cairn.sources.journal import Journal
+
+#: Files that a table's INSERTs may leave before they are written together.
+FILES = 64
+#: Footers are read once for each state of a path: {session: {path: (when and how it was last changed, schema)}}.
+SCHEMAS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 @dataclass
 class Entry:
     id: int
     schema: T.StructType
-    #: Where the data is; None: in `df`.
+    #: Where the data is; None: in `df`, or in `rows`.
     path: str | None = None
     df: DataFrame | None = None
     #: Whether the session may insert into it.
     own: bool = False
+    #: What was inserted into a table without a folder, a batch for each statement.
+    rows: list[pa.RecordBatch] = field(default_factory=list)
+
+    def json(self) -> dict:
+        return {"id": self.id, "folder": self.path.rpartition("/")[2], "schema": self.schema.jsonValue()}
 
 
 class Catalog:
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path.rstrip("/") if path else None
+        self.journal = Journal(spark, f"{self.path}/catalog")
         self.entries: dict[str, Entry] = {}
-        if self.path and (text := self._read("catalog.json")) is not None:
-            for name, e in json.loads(text).items():
-                self.entries[name] = Entry(e["id"], T.StructType.fromJson(e["schema"]), f"{self.path}/{e['folder']}", own=True)
-
-    # files
-
-    def _file(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
-    def _read(self, name: str) -> str | None:
-        fs, path = self._file(name)
-        if not fs.exists(path):
-            return None
-        stream = fs.open(path)
-        try:
-            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-
-    def _persist(self) -> None:
-        """A new file takes the old one's place, so a session that dies here leaves one of the two."""
-        text = json.dumps({n: {"id": e.id, "folder": f"table-{e.id}", "schema": e.schema.jsonValue()} for n, e in self.entries.items() if e.own})
-        fs, path = self._file("catalog.json")
-        _, new = self._file("catalog.json.new")
-        stream = fs.create(new, True)
-        try:
-            stream.write(bytearray(text.encode()))
-        finally:
-            stream.close()
-        fs.delete(path, False)
-        if not fs.rename(new, path):
-            raise OSError(f"cannot write {path}")
+        self._refresh()
+
+    # the list of own tables
+
+    def _refresh(self) -> int:
+        """Takes own tables from the newest list; the number for the next."""
+        if not self.path:
+            return 0
+        found, number = self.journal.newest()
+        if found is not None:
+            held = {n: e for n, e in self.entries.items() if not e.own}
+            self.entries = held | {n: Entry(e["id"], T.StructType.fromJson(e["schema"]), f"{self.path}/{e['folder']}", own=True) for n, e in found.items() if n not in held}
+        return number
+
+    def _commit(self, change: Callable[[], object], tries: int = 20) -> None:
+        """Applies `change` to the newest list and writes the result as the next, again if another session was first."""
+        for _ in range(tries):
+            number = self._refresh()
+            change()
+            if self.journal.write(number, {n: e.json() for n, e in self.entries.items() if e.own}):
+                return
+        raise EngineError(f"other sessions keep changing {self.path}")
 
     # tables
 
-    def _add(self, name: str, entry: Entry) -> Entry:
+    def _next_id(self) -> int:
+        return 1 + max((e.id for e in self.entries.values()), default=-1)
+
+    def _add(self, name: str, schema: T.StructType, **more) -> Entry:
         if name in self.entries:
             raise BindError(f"table {name!r} exists")
-        self.entries[name] = entry
+        entry = self.entries[name] = Entry(self._next_id(), schema, **more)
         return entry
 
-    def _next_id(self) -> int:
-        return 1 + max((e.id for e in self.entries.values()), default=-1)
-
     def register(self, name: str, df: DataFrame) -> None:
         """A DataFrame as a table that can be read."""
-        self._add(name, Entry(self._next_id(), df.schema, df=df))
+        self._add(name, df.schema, df=df)
 
     def register_parquet(self, name: str, path: str) -> None:
-        """Parquet data as a table that can be read; its schema is taken once."""
-        df = self.spark.read.parquet(path)
-        self._add(name, Entry(self._next_id(), df.schema, path=path, df=df))
+        """Parquet data as a table that can be read. Footers are read only where the path has changed since this session read them."""
+        fs, at = self.journal.file(path)
+        known, state = SCHEMAS.setdefault(self.spark, {}), None
+        if fs.exists(at):
+            status = fs.getFileStatus(at)
+            state = (status.getModificationTime(), status.getLen())
+        if state is None or known.get(path, (None,))[0] != state:
+            known[path] = (state, self.spark.read.parquet(path).schema)
+        schema = known[path][1]
+        self._add(name, schema, path=path, df=self.spark.read.schema(schema).parquet(path))
 
     def create(self, name: str, schema: T.StructType) -> int:
         """A new, empty table of the session's own; its id."""
-        entry = self._add(name, Entry(self._next_id(), schema, own=True))
-        empty = self.spark.createDataFrame([], schema)
-        if self.path:
-            entry.path = f"{self.path}/table-{entry.id}"
-            empty.write.mode("overwrite").parquet(entry.path)
-            self._persist()
-        else:
-            entry.df = empty
-        return entry.id
+        if not self.path:
+            return self._add(name, schema, own=True).id
+        if name in self.entries:
+            raise BindError(f"table {name!r} exists")
+        path = f"{self.path}/table-{uuid.uuid4().hex}"
+        self.spark.createDataFrame([], schema).write.parquet(path)
+        self._commit(lambda: self._add(name, schema, path=path, own=True))
+        return self.entries[name].id
 
     def insert(self, name: str, rows: list[tuple]) -> int:
-        """Appends rows that fit the schema. One statement's rows come from the driver, so one file takes them."""
+        """Appends rows that fit the schema. One statement's rows come from the driver, so one file takes them; a table of
+        many files is written anew in few."""
         entry = self.entries[name]
         if not entry.own:
             raise BindError(f"table {name!r} can only be read")
-        df = self.spark.createDataFrame(rows, entry.schema)
-        if entry.path:
-            df.coalesce(1).write.mode("append").parquet(entry.path)
-        else:
-            entry.df = entry.df.unionAll(df)
+        kinds = to_arrow_schema(entry.schema)
+        batch = pa.record_batch([pa.array(c, k.type) for c, k in zip(zip(*rows, strict=True) if rows else [()] * len(kinds), kinds, strict=True)], schema=kinds)
+        if not entry.path:
+            entry.rows.append(batch)
+            entry.df = None
+            return len(rows)
+        self._frame(entry, [batch]).coalesce(1).write.mode("append").parquet(entry.path)
+        if len(self.journal.names(entry.path, ".parquet")) > FILES:
+            self._compact(name)
         return len(rows)
 
+    def _compact(self, name: str) -> None:
+        """The rows of a table in a new folder, in files of the size that scans are cut to. The old folder is left, as results
+        that were not computed yet may still read it. One session at a time may write to a folder's tables."""
+        old = self.entries[name]
+        fs, at = self.journal.file(old.path)
+        size = int(self.spark._jsc.hadoopConfiguration().getLong("parquet.block.size", 128 << 20))
+        files = max(1, -(-fs.getContentSummary(at).getLength() // size))
+        path = f"{self.path}/table-{uuid.uuid4().hex}"
+        self.table(name).coalesce(files).write.parquet(path)
+
+        def change() -> None:
+            self.entries[name].path = path
+
+        self._commit(change)
+
+    def _frame(self, entry: Entry, batches: list[pa.RecordBatch]) -> DataFrame:
+        return self.spark.createDataFrame(pa.Table.from_batches(batches, to_arrow_schema(entry.schema)), entry.schema)
+
     def table(self, name: str) -> DataFrame | None:
         entry = self.entries.get(name)
         if entry is None:
             return None
+        if entry.df is None and not entry.path:
+            entry.df = self._frame(entry, entry.rows)
         return entry.df if entry.df is not None else self.spark.read.schema(entry.schema).parquet(entry.path)
 
     def listed(self) -> list[tuple[str, int, int]]:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+import time
 
 import pytest
 from pyspark.sql import types as T
 
 from cairn.engine import Created, Engine, Inserted
-from cairn.errors import BindError
+from cairn.errors import BindError, EngineError
+from cairn.sources.catalog import FILES
+from cairn.sources.journal import Journal
 
 
 def rows(df):
@@ -154,3 +157,78 @@ def test_insert_past_a_row_group(spark, tmp_path):
 def test_int_overflow_is_an_error(engine):
     with pytest.raises(Exception, match="(?i)overflow"):
         engine.sql("SELECT i * 2000000000 AS x FROM nums").collect()
+
+
+def test_overflow_is_never_a_wrap(spark, engine):
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        with pytest.raises(EngineError, match="ansi"):
+            engine.sql("SELECT i * 2000000000 AS x FROM nums")
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+
+
+class Died(Exception):
+    """The session ended here."""
+
+
+@pytest.mark.parametrize("step", range(6))
+def test_a_session_that_dies_loses_no_table(spark, tmp_path, monkeypatch, step):
+    """CREATE TABLE is cut off before each of its file operations, and once in the middle of writing the list."""
+    path = str(tmp_path / "base")
+    e = Engine(spark, path)
+    e.execute("CREATE TABLE a (i int)")
+    e.execute("INSERT INTO a VALUES (1), (2)")
+    steps, real = iter(range(100)), Journal.file
+
+    def file(self, at):
+        if next(steps) == step:
+            raise Died
+        return real(self, at)
+
+    monkeypatch.setattr(Journal, "file", file)
+    try:
+        e.execute("CREATE TABLE b (s text)")
+    except Died:
+        pass
+    monkeypatch.undo()
+    if step == 5:  # a list that was not written to its end
+        newest = sorted((tmp_path / "base" / "catalog").glob("*.json"))[-1]
+        (newest.parent / f"{int(newest.stem) + 1:08d}.json").write_text(newest.read_text()[:30])
+    again = Engine(spark, path)
+    assert rows(again.sql("SELECT i FROM a")) == [(1,), (2,)]
+    if again.catalog.described("b") is None:
+        again.execute("CREATE TABLE b (s text)")
+    again.execute("INSERT INTO b VALUES ('x')")
+    third = Engine(spark, path)
+    assert rows(third.sql("SELECT i FROM a")) == [(1,), (2,)] and rows(third.sql("SELECT s FROM b")) == [("x",)]
+
+
+def test_two_sessions_of_a_folder_keep_each_others_tables(spark, tmp_path):
+    path = str(tmp_path / "base")
+    one, other = Engine(spark, path), Engine(spark, path)
+    assert one.execute("CREATE TABLE a (i int)") == Created(0)
+    assert other.execute("CREATE TABLE b (i int)") == Created(1)
+    one.execute("INSERT INTO a VALUES (1)")
+    with pytest.raises(BindError):
+        other.execute("CREATE TABLE a (i int)")
+    assert Engine(spark, path).catalog.listed() == [("a", 1, 1), ("b", 1, 0)]
+
+
+@pytest.mark.parametrize("folder", [False, True])
+def test_many_inserts(spark, tmp_path, folder):
+    """Ten files' worth of statements past the limit: a table stays one frame, and a folder's files few."""
+    path = str(tmp_path / "base") if folder else None
+    e = Engine(spark, path)
+    e.execute("CREATE TABLE t (i int, s varchar)")
+    n = FILES + 10
+    for k in range(n):
+        e.execute("INSERT INTO t VALUES " + ", ".join(f"({k * 50 + i}, 'v{i}')" for i in range(50)))
+    begun = time.monotonic()
+    assert rows(e.sql("SELECT COUNT(*) AS n, MAX(i) AS m, MIN(i) AS l FROM t")) == [(n * 50, n * 50 - 1, 0)]
+    assert time.monotonic() - begun < 10
+    if folder:
+        assert len(list((tmp_path / "base").glob("table-*"))) == 2  # the old one is left to its readers
+        assert rows(Engine(spark, path).sql("SELECT COUNT(*) AS n FROM t")) == [(n * 50,)]
+        assert len(e.catalog.journal.names(e.catalog.entries["t"].path, ".parquet")) < 15
+    assert "Union" not in e.explain("SELECT i FROM t")

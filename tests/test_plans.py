@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from cairn.engine import Engine
 from cairn.queries import session
 
 SF = "/root/testdata/sf0.001"
@@ -34,3 +35,35 @@ def test_filters_pass_joins_and_groups(spark):
 def test_self_join_prunes_columns(spark):
     p = plan(spark, "SELECT a.l_tax FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey")
     assert "ReadSchema: struct<l_orderkey:bigint>" in p
+
+
+def rows_from_scan(spark, df):
+    """Rows that the scan of `df` gave when it ran, and how many files it opened."""
+    df.collect()
+    scan = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    return scan.metrics().apply("numOutputRows").value()
+
+
+def test_row_groups_out_of_range_are_not_read(spark, tmp_path):
+    """A table in the order of its ids, in one file of many row groups: what a filter rules out by statistics is not read."""
+    path = str(tmp_path / "clustered")
+    spark.range(200_000).selectExpr("cast(id AS int) AS id", "concat('k', lpad(id, 9, '0')) AS name").coalesce(1).write.option("parquet.block.size", 64 << 10).option("parquet.page.size", 8 << 10).parquet(path)
+    e = Engine(spark).register_parquet("t", path)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        read = {w: rows_from_scan(spark, e.sql(f"SELECT id, name FROM t WHERE {w}")) for w in ("id > 199999", "id > -1", "id = 5000", "id < 20000", "name < 'k000000010'", "name > 'l'")}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert read["id > 199999"] == read["name > 'l'"] == 0 and read["id > -1"] == 200_000
+    assert 0 < read["id = 5000"] < 40_000 and 20_000 <= read["id < 20000"] < 60_000 and 10 <= read["name < 'k000000010'"] < 40_000
+
+
+def test_footers_are_read_again_only_after_a_change(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(5).write.parquet(path)
+    count = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    assert Engine(spark).register_parquet("t", path).table("t").columns == ["id"]
+    before = count()
+    assert Engine(spark).register_parquet("t", path).table("t").columns == ["id"] and count() == before
+    spark.range(5).selectExpr("id", "id * 2 AS twice").write.mode("overwrite").parquet(path)
+    assert Engine(spark).register_parquet("t", path).table("t").columns == ["id", "twice"]

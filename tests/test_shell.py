@@ -20,13 +20,20 @@ def test_values():
 
 
 def test_boxed():
-    assert format.boxed(["id", "name"], [(1, "alice"), (22, None)]) == ["+----+-------+", "| id | name  |", "+----+-------+", "| 1  | alice |", "| 22 | NULL  |", "+----+-------+"]
-    assert format.boxed(["id"], []) == ["Empty set."]
+    assert list(format.boxed(["id", "name"], [(1, "alice"), (22, None)])) == ["+----+-------+", "| id | name  |", "+----+-------+", "| 1  | alice |", "| 22 | NULL  |", "+----+-------+"]
+    assert list(format.boxed(["id"], [])) == ["Empty set."]
+
+
+def test_boxed_takes_a_page_at_a_time():
+    taken = []
+    lines = format.boxed(["n"], ((taken.append(i) or i,) for i in range(10)), page=4)
+    assert next(lines) == "+---+" and len(taken) == 4
+    assert sum(line == "| n |" for line in lines) == 3 and len(taken) == 10
 
 
 def test_session(spark):
     got = run(spark, "CREATE TABLE users (id int4,\n name varchar);\nINSERT INTO users VALUES (5, 'a;b'); INSERT INTO users VALUES (15, 'c'), (25, 'd');\nSELECT id, name FROM users\nWHERE id < 10;\n")
-    assert got == "Table created (id=0).\n1 row inserted (T)\n2 rows inserted (T)\nid\tname\n5\ta;b\n(1 row returned in T)\n"
+    assert got == "Table created (id=0).\n1 row(s) inserted (T)\n2 row(s) inserted (T)\nid\tname\n5\ta;b\n(1 row returned in T)\n"
 
 
 def test_errors_leave_the_session_alive(spark):
@@ -37,7 +44,7 @@ def test_errors_leave_the_session_alive(spark):
 
 def test_meta(spark):
     got = run(spark, "\\dt\nCREATE TABLE mixed (i int4, f float4, v varchar);\n\\d mixed  \n\\d;\n\\d nope\n\\x\nHELP;\nQuit;\nSELECT 1;\n")
-    assert got.startswith("No tables.\nTable created (id=0).\ncolumn\ttype\tordinal\ni\tinteger\t0\nf\tfloat\t1\nv\tvarchar\t2\ntable\tcolumns\trows\nmixed\t3\t0\nNo table named 'nope'.\nError: unknown command \\x\nStatements end")
+    assert got.startswith("No tables.\nTable created (id=0).\n+--------+---------+---------+\n| column | type    | ordinal |\n+--------+---------+---------+\n| i      | INTEGER | 0       |\n| f      | FLOAT   | 1       |\n| v      | VARCHAR | 2       |\n+--------+---------+---------+\n+-------+---------+------+\n| table | columns | rows |\n+-------+---------+------+\n| mixed | 3       | 0    |\n+-------+---------+------+\nError: unknown table 'nope'\nError: unknown command \\x\nStatements end")
     assert "Error: FROM" not in got
 
 
