@@ -14,6 +14,7 @@ found and none is made up, and a point has a bounded number of members. Componen
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -157,9 +158,7 @@ def thresholds(widths: list[int], share: list[np.ndarray], total: int, tau: int)
 def design(prints: DataFrame, total: int, tau: int) -> list[tuple[int, int, list[int]]]:
     """(mask, threshold, its bits) of each group in use, the cheapest over several numbers of groups."""
     both = bit_counts(prints)
-    share = min(1.0, 2 * SAMPLE / max(total, 1))
-    drawn = prints.filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(share * (1 << 30))).select("fp").limit(2 * SAMPLE).collect()
-    sample = np.array(sorted(r[0] for r in drawn), np.int64).view(np.uint64)[:SAMPLE]
+    sample = np.array([r[0] for r in prints.orderBy(F.xxhash64("fp"), "fp").select("fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)  # those of least hash
     plans = []
     for m in range(2, min(tau + 2, 6)):
         groups = group_bits(both, total, m)
@@ -172,6 +171,11 @@ def flips(bits: list[int], distance: int) -> list[int]:
     return [signed(sum(1 << b for b in chosen)) for chosen in combinations(bits, distance)]
 
 
+def constant(values: list, kind: str) -> Column:
+    """One constant, however long, of a Spark type."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
 def differ(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
@@ -180,26 +184,40 @@ def links(prints: DataFrame, groups: list[tuple[int, int, list[int]]], tau: int
     """(seed, a, b): links between different fingerprints of one seed, enough of them to connect all that differ in at most
     tau bits, and none between others. `prints`: seed, fp, each pair once; with `root`, links between those of one root, which
     are connected already, may be missing."""
-    fp, own = F.col("fp"), ["seed", "fp", "root"]
-    prints = prints if "root" in prints.columns else prints.withColumn("root", fp)
-    masks = F.array(*[F.struct(F.lit(i).alias("part"), F.lit(signed(mask)).alias("mask")) for i, (mask, _, _) in enumerate(groups)])
-    exact = prints.select(*own, F.explode(masks).alias("g")).select(*own, "g.part", fp.bitwiseAND(F.col("g.mask")).alias("key"))
-    near = exact.withColumn("k", F.lit(0))
-    for i, (mask, t, bits) in enumerate(groups):
-        for k in range(1, t + 1):
-            flip = F.explode(F.array(*[F.lit(x) for x in flips(bits, k)]))
-            key = fp.bitwiseAND(F.lit(signed(mask))).bitwiseXOR(F.col("flip"))
-            near = near.unionByName(prints.select(*own, flip.alias("flip")).select(*own, F.lit(i).alias("part"), key.alias("key"), F.lit(k).alias("k")))
-    place = ["seed", "part", "key"]
-    crowded = kept(exact.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).drop("n"), "hot")
+    fp, rooted, place = F.col("fp"), "root" in prints.columns, ["seed", "part", "key"]
+    own = ["seed", "fp", *(["root"] if rooted else [])]
+    signatures = [{"part": i, "k": k, "mask": signed(mask), "flip": x} for i, (mask, t, bits) in enumerate(groups) for k in range(t + 1) for x in flips(bits, k)]
+
+    def keyed(these: list[dict]) -> DataFrame:
+        every = F.explode(constant(these, "array<struct<part: int, k: int, mask: bigint, flip: bigint>>")).alias("s")
+        return prints.select(*own, every).select(*own, "s.part", fp.bitwiseAND(F.col("s.mask")).bitwiseXOR(F.col("s.flip")).alias("key"), "s.k")
+
+    near, exact = keyed(signatures), keyed([x for x in signatures if not x["k"]]).drop("k")
+    if rooted:
+        # keys that one root has to itself go, and of others those pairs that would be of the root that has most there
+        each = near.groupBy(*place, "root").agg(F.count(F.lit(1)).alias("n"))
+        most = each.groupBy(*place).agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("m")).filter("n > m.n")
+        keys = kept(most.select(*place, F.col("m.root").alias("most"), F.expr(f"n * (n - m.n) > {hot * hot}").alias("hot")), "keys")
+        near, exact, is_most = near.join(keys, place), exact.join(keys, place), F.col("root") == F.col("most")
+        crowded = keys.filter("hot").select(*place)
+        a = exact.filter("NOT hot").withColumn("side", F.when(is_most, 1).otherwise(0))
+        b = near.filter("NOT hot").withColumn("side", F.explode(F.when(is_most, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    else:
+        crowded = kept(exact.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).drop("n"), "hot")
+        a, b = exact.withColumn("side", F.lit(0)), near.withColumn("side", F.lit(0))
     any_hot = not crowded.isEmpty()
-    cold = exact.join(crowded, place, "left_anti") if any_hot else exact
-    a, b = cold.alias("a"), near.alias("b")
-    met = (F.col("a.seed") == F.col("b.seed")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.key") == F.col("b.key"))
+    if any_hot and not rooted:
+        a = a.join(crowded, place, "left_anti")
+    a, b = a.alias("a"), b.alias("b")
+    met = F.lit(True)
+    for c in [*place, "side"]:
+        met = met & (F.col(f"a.{c}") == F.col(f"b.{c}"))
     once = F.when(F.col("b.k") == 0, F.col("a.fp") < F.col("b.fp")).otherwise(F.col("a.fp") != F.col("b.fp"))
-    found = a.join(b, met & once & (F.col("a.root") != F.col("b.root")) & (differ(F.col("a.fp"), F.col("b.fp")) <= tau)).select("a.seed", F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    apart = F.col("a.root") != F.col("b.root") if rooted else F.lit(True)
+    found = a.join(b, met & once & apart & (differ(F.col("a.fp"), F.col("b.fp")) <= tau)).select("a.seed", F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
     if any_hot:
-        found = found.unionByName(meeting_points(near.join(crowded, place, "left_semi"), groups, tau))
+        members = near.filter("hot") if rooted else near.join(crowded, place, "left_semi")
+        found = found.unionByName(meeting_points(kept(members.select("seed", "fp", *place[1:], "k"), "members"), groups, tau))
     return found
 
 
@@ -209,36 +227,42 @@ def meeting_points(members: DataFrame, groups: list[tuple[int, int, list[int]]],
     A member with k = 0 and one with k are linked if their other bits differ in at most tau - k. The first goes to the points
     within a = 1 of its other bits (0 if tau - k is 0), the second to those within tau - k - a, so they share a point just if
     they are linked; any two members of the first kind at a point differ in at most 2a bits and are linked too."""
-    points = []
+    ways = []
     for i, (mask, t, bits) in enumerate(groups):
-        rest_mask, rest = ((1 << BITS) - 1) ^ mask, [b for b in range(BITS) if b not in bits]
-        own = members.filter(F.col("part") == i)
+        rest = [b for b in range(BITS) if b not in bits]
         for k in range(t + 1):
             reach = tau - k
             near = min(1, reach, tau // 2)
             for first, radius in ((True, near), (False, reach - near)):
-                flip = F.explode(F.array(*[F.lit(x) for d in range(radius + 1) for x in flips(rest, d)]))
-                which = own.filter(F.col("k") == (0 if first else k)).select("seed", "fp", "part", "key", flip.alias("flip"))
-                points.append(which.select("seed", "fp", "part", "key", F.lit(k).alias("k"), F.lit(first).alias("first"), F.col("fp").bitwiseAND(F.lit(signed(rest_mask))).bitwiseXOR(F.col("flip")).alias("point")))
-    everyone = points[0]
-    for p in points[1:]:
-        everyone = everyone.unionByName(p)
+                ways.append({"part": i, "k": k, "first": first, "rest": signed(((1 << BITS) - 1) ^ mask), "flips": [x for d in range(radius + 1) for x in flips(rest, d)]})
+    way = F.explode(constant(ways, "array<struct<part: int, k: int, first: boolean, rest: bigint, flips: array<bigint>>>")).alias("w")
+    own = members.select("seed", "fp", "part", "key", "k", way).filter("part = w.part AND k = IF(w.first, 0, w.k)")
+    each = own.select("seed", "fp", "part", "key", "w.k", "w.first", "w.rest", F.explode("w.flips").alias("flip"))
+    everyone = each.withColumn("point", F.col("fp").bitwiseAND(F.col("rest")).bitwiseXOR(F.col("flip")))
     # the members of a point are bounded by the number of ways to be that near to it, whatever the number of rows
     at = everyone.groupBy("seed", "part", "key", "k", "point").agg(F.min(F.when(F.col("first"), F.col("fp"))).alias("a"), F.collect_set("fp").alias("all")).filter(F.col("a").isNotNull() & (F.size("all") > 1))
     return at.select("seed", "a", F.explode("all").alias("b")).filter("a <> b").distinct()
 
 
+def with_least(edges: DataFrame, salts: int) -> DataFrame:
+    """(a, b, m) for each of `edges` (a, b): m is the smallest b of its a. The edges of a node are dealt out by a salt, for
+    a node may hold a large share of them all: what one key meets is a `salts`-th of those, or a row for each salt."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int"))
+    parts = salted.groupBy("a", "salt").agg(F.min("b").alias("m"))
+    least = parts.groupBy("a").agg(F.min("m").alias("m"))
+    return salted.join(parts.select("a", "salt").join(least, "a"), ["a", "salt"]).select("a", "b", "m")
+
+
 def components(edges: DataFrame, name: str = "star") -> DataFrame:
     """(node, root) for each node of `edges` (a, b): root is the smallest node that can be reached. Alternates large stars
     (each node's larger neighbours go to its smallest one) and small stars (so do the smaller ones) until nothing moves."""
     edges = kept(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    salts = max(16, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"), F.col("a").alias("own"), "m")
+        large = with_least(both, salts).filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+        small = with_least(large, salts).select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"), F.col("a").alias("own"), "m")
         small = small.select("a", "b").unionByName(small.select(F.col("own").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct()
         edges = kept(small, name)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
