@@ -137,6 +137,26 @@ def test_links_connect_all_and_only_near_ones(spark, cloud, hot, shape):
         assert {frozenset(g) for g in found.values()} == {g for g in brute_components(cloud) if len(g) > 1}
 
 
+@pytest.mark.parametrize("hot", [1, 40, 5000])
+def test_links_between_roots(spark, cloud, hot):
+    """With roots that connect parts of components already, links and roots together connect what links alone do."""
+    m, r = op4_simhash_gph, random.Random(hot)
+    groups = [((1 << 32) - 1, 1, list(range(32))), (((1 << 32) - 1) << 32, 1, list(range(32, 64)))]
+    root = {x: x for x in cloud}
+    for g in brute_components(cloud):
+        g = sorted(g)
+        for x in r.sample(g, len(g) * 3 // 4):
+            root[x] = g[0]
+    df = spark.createDataFrame([(0, m.signed(x), m.signed(root[x])) for x in cloud], "seed int, fp long, root long")
+    made = m.links(df, groups, 3, hot)
+    assert hot == 1 or made.filter("a = b").isEmpty()
+    known = spark.createDataFrame([(m.signed(x), m.signed(y)) for x, y in root.items() if x != y], "a long, b long")
+    found = {}
+    for x in m.components(made.select("a", "b").unionByName(known)).collect():
+        found.setdefault(x.root, set()).add(x.node & (1 << 64) - 1)
+    assert {frozenset(g) for g in found.values()} == {g for g in brute_components(cloud) if len(g) > 1}
+
+
 def test_thresholds_are_the_cheapest():
     share = [np.array([0.1, 0.2, 0.4, 0.8]), np.array([0.001, 0.01, 0.1, 0.5])]
     cost, chosen = op4_simhash_gph.thresholds([32, 32], share, 1000, 3)
@@ -162,6 +182,46 @@ def test_components_of_chains(spark):
     assert got == {**dict.fromkeys(range(61), 0), **dict.fromkeys(range(100, 108), 100), 200: 200, 201: 200}
 
 
+def test_components_of_a_hub(spark):
+    """A node with most of the edges: no key of the star steps meets more than a salt's share of them."""
+    edges = [(5000 + i, 7) for i in range(3000)] + [(i, 9000) for i in range(10, 40)] + [(7000, 8)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r.node: r.root for r in op4_simhash_gph.components(df).collect()}
+    assert got == {7: 7, 8: 7, **dict.fromkeys(range(5000, 8000), 7), **dict.fromkeys([*range(10, 40), 9000], 10)}
+    both = df.unionByName(df.selectExpr("b AS a", "a AS b"))
+    with_least = {(r.a, r.b): r.m for r in op4_simhash_gph.with_least(both, 64).collect()}
+    assert len(with_least) == 2 * len(edges) and with_least[7, 7999] == 5000 and with_least[9000, 39] == 10
+
+
+def test_the_plan_is_drawn_from_all_fingerprints(spark):
+    r = random.Random(8)
+    df = spark.createDataFrame([(op4_simhash_gph.signed(r.getrandbits(64)),) for _ in range(6000)], "fp long")
+    seen = []
+    keep, op4_simhash_gph.near_share = op4_simhash_gph.near_share, lambda both, total, sample, group, tau: seen.append(sample) or keep(both, total, sample, group, tau)
+    try:
+        plans = [op4_simhash_gph.design(x, 6000, 3) for x in (df, df.repartition(7))]
+    finally:
+        op4_simhash_gph.near_share = keep
+    assert plans[0] == plans[1] and len(seen[0]) == op4_simhash_gph.SAMPLE
+    share = np.array([[x >> b & 1 for b in range(64)] for x in seen[0].tolist()]).mean(axis=0)
+    assert (abs(share - 0.5) < 0.06).all()
+
+
+def test_links_at_the_shipped_limit_of_a_key(spark):
+    """More fingerprints than HOT under one key, with links across it."""
+    m, r = op4_simhash_gph, random.Random(6)
+    low, cloud = r.getrandbits(32), set()
+    while len(cloud) < m.HOT + 300:
+        cloud.add(low | r.getrandbits(12) << 40 | (1 << 33 if r.random() < 0.5 else 0))
+    cloud = sorted(cloud)
+    df = spark.createDataFrame([(0, m.signed(x)) for x in cloud], "seed int, fp long")
+    groups = [((1 << 32) - 1, 1, list(range(32))), (((1 << 32) - 1) << 32, 1, list(range(32, 64)))]
+    found = {}
+    for x in m.components(m.links(df, groups)).collect():
+        found.setdefault(x.root, set()).add(x.node & (1 << 64) - 1)
+    assert {frozenset(g) for g in found.values()} == {g for g in brute_components(cloud) if len(g) > 1}
+
+
 # op5
 
 
@@ -267,22 +327,74 @@ def test_op10_odd_rows(documents, odd):
     passage = " ".join(f"p{i}" for i in range(30))
     values = [*odd, (20, f"a {passage} b", "en"), (21, f"c {passage}", "en"), (21, f"{passage} d", "en"), (None, passage, "en"), (22, f"{passage[:60]} x {passage}", "en"), (19, " ".join(f"p{i}" for i in range(12)), "en")]
     got = op10_substring_lsm.dedup(documents(values), buckets=4, segment_bytes=2000)
+    assert of_op10(op10_substring_lsm.dedup(documents(values), parts=1)) == of_op10(got)
     assert of_op10(got) == expected_op10([(i, t) for i, t, _ in values])
     assert {"lang", "ids", "fp"} <= set(got.columns)
     assert op10_substring_lsm.dedup(documents([])).collect() == []
 
 
-def test_op10_batches_and_compaction(spark, documents, rows):
-    index = op10_substring_lsm.Index(spark, common.scratch(spark, "lsm"), buckets=8, segment_bytes=40_000)
-    got = []
-    for k in range(0, len(rows), 30):
+def test_op10_batches_compaction_and_reopening(spark, documents, rows):
+    """Seven batches in an order of no kind, each by an index opened anew; runs are merged level by level."""
+    path, got = common.scratch(spark, "lsm"), []
+    for k in sorted(range(0, len(rows), 30), key=lambda k: k * 7 % 11):
+        index = op10_substring_lsm.Index(spark, path, buckets=8, segment_bytes=40_000, fan=2)
         got += of_op10(index.add(documents(rows[k : k + 30])))
-    assert sorted(got) == expected_op10([(i, t) for i, t, _ in rows])
-    assert len(index.batches) == 7 and len(index.runs) <= op10_substring_lsm.RUNS and any("compacted" in r for r in index.runs)
-    again = of_op10(index.add(documents([(1000, rows[0][1], "en")])))
+    firsts, words = {}, {i: WORDS.findall(t) for i, t, _ in rows}
+    seen = {}
+    for k in sorted(range(0, len(rows), 30), key=lambda k: k * 7 % 11):  # a batch is held against itself and earlier ones
+        for i, _, _ in rows[k : k + 30]:
+            for at in range(len(words[i]) - 12):
+                w = tuple(words[i][at : at + 13])
+                firsts[w] = min(firsts.get(w, i), i)
+        for i, _, _ in rows[k : k + 30]:
+            gone = [False] * len(words[i])
+            for at in range(len(words[i]) - 12):
+                if firsts[tuple(words[i][at : at + 13])] < i:
+                    gone[at : at + 13] = [True] * 13
+            seen[i] = (i, len(words[i]), sum(gone), " ".join(w for w, g in zip(words[i], gone, strict=True) if not g))
+    assert sorted(got) == sorted(seen.values())
+    assert len(index.state["batches"]) == 7 and sorted(r["level"] for r in index.state["runs"]) == [0, 1, 2]
+    again = of_op10(op10_substring_lsm.Index(spark, path).add(documents([(1000, rows[0][1], "en")])))
     assert again[0][3] == "" and again[0][2] == len(WORDS.findall(rows[0][1]))
 
 
+def test_op10_reads_only_files_that_match(spark, documents, monkeypatch):
+    """The n-th batch reads its own files and, of earlier texts, those that share a passage with it, however many there are."""
+    r = random.Random(3)
+    text = lambda: " ".join(f"w{r.randrange(10**7)}" for _ in range(200))
+    index = op10_substring_lsm.Index(spark, common.scratch(spark, "lsm"), buckets=8, segment_bytes=4000)
+    first = [(i, text(), "en") for i in range(60)]
+    for k in range(4):
+        index.add(documents(first if not k else [(100 * k + i, text(), "en") for i in range(60)], parts=6)).count()
+    read, files = [], op10_substring_lsm.Index._files
+    monkeypatch.setattr(op10_substring_lsm.Index, "_files", lambda self, parts: read.append(files(self, parts)) or read[-1])
+    assert of_op10(index.add(documents([(900, text(), "en")])))[0][2] == 0 and read == []
+    assert of_op10(index.add(documents([(901, first[7][1] + " " + text(), "en")])))[0][2] == 200
+    assert len(read) == 1 and len(read[0]) == 1 and "segments-000000" in read[0][0]
+
+
+def test_op10_a_batch_that_died_leaves_no_trace(spark, documents, monkeypatch):
+    passage = " ".join(f"p{i}" for i in range(30))
+    path = common.scratch(spark, "lsm")
+    index = op10_substring_lsm.Index(spark, path, buckets=4)
+    assert of_op10(index.add(documents([(5, passage, "en")])))[0][2] == 0
+    monkeypatch.setattr(op10_substring_lsm.Index, "_resolve", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        index.add(documents([(1, passage, "en")]))
+    monkeypatch.undo()
+    assert [x[2] for x in of_op10(index.add(documents([(4, passage, "en")])))] == [0]
+    assert [x[2] for x in of_op10(op10_substring_lsm.Index(spark, path).add(documents([(6, passage, "en")])))] == [30]
+    with pytest.raises(RuntimeError):  # the other session has added meanwhile
+        index.add(documents([(7, passage, "en")]))
+
+
+def test_op10_buckets_grow_with_the_index(spark, documents, rows, monkeypatch):
+    monkeypatch.setattr(op10_substring_lsm, "BUCKET_BYTES", 200)
+    index = op10_substring_lsm.Index(spark, common.scratch(spark, "lsm"), buckets=2, segment_bytes=40_000)
+    got = of_op10(index.add(documents(rows[:100]))) + of_op10(index.add(documents(rows[100:])))
+    assert sorted(got) == expected_op10([(i, t) for i, t, _ in rows]) and index.state["buckets"] > 64
+
+
 def test_sliding_min_and_narrow_numbers():
     r = np.random.default_rng(1)
     x = r.integers(0, 100, 50)
