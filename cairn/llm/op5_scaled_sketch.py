@@ -9,6 +9,7 @@ above. Windows over the whole table's order run in parts: ranges of doc_id, each
 from __future__ import annotations
 
 import json
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ BELOW = -(1 << 63) + (1 << 64) // SCALE
 WHITE = r"[ \t\n\x0B\f\r]+"
 #: Parts that a whole-table order is cut into at most; their bounds are all that the driver sees.
 PARTS = 1 << 16
+#: Bounds by text, of all doc_ids that are cut so; first bytes of a text that these look at; what comes before all numbers.
+WITHIN, PREFIX, LOWEST = 1 << 20, 7, -(1 << 63)
 
 
 def words(text: Column) -> Column:
@@ -66,32 +69,51 @@ def printed(sketch: Column) -> Column:
     return F.lower(F.array_join(F.transform(sketch, lambda h: F.lpad(F.hex(h), 16, "0")), ""))
 
 
+def bounds_of(keyed: DataFrame, n: int) -> list[tuple[int, int]]:
+    """Bounds (doc_id, place of the text) that cut the order into about n parts of like sizes, the smallest first. A doc_id that
+    quantiles name several times has several parts' worth of rows, and is cut by its texts, as quantiles of their first bytes say."""
+    at = [i / n for i in range(1, n)]
+    found = Counter(keyed.agg(F.percentile_approx("__k", at, 20 * n)).first()[0] or [])
+    heavy = {k: times for k, times in found.items() if times > 1}
+    bounds = {(k, LOWEST) for k in found}
+    if heavy:
+        pieces = max(2, min(max(heavy.values()), WITHIN // len(heavy)))
+        wanted = F.array_contains(literal(sorted(heavy)), F.col("__k"))
+        cut = keyed.filter(wanted).groupBy("__k").agg(F.percentile_approx("__t", [i / pieces for i in range(1, pieces)], 20 * pieces))
+        bounds |= {(k, t) for k, ts in cut.collect() for t in ts}
+    return sorted(bounds)
+
+
+def literal(values: list, kind: str = "array<long>") -> Column:
+    """One constant, however long."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
 def with_next(df: DataFrame, columns: list[str]) -> DataFrame:
     """`df` with next_<column>: that of the row after it by descending doc_id (equal ones by text; null last; after the last
-    the first). The table's order is cut at quantiles of doc_id into parts of like sizes; each part is also given the rows
-    with the largest doc_id of the part below it, which follow its own last row."""
+    the first). The table's order is cut into parts of like sizes; each part is also given the first rows of the part below
+    it, which follow its own last row. Rows of one doc_id are parted by their texts' first bytes, so that those alone whose
+    texts begin alike must be in one part."""
     spark = df.sparkSession
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    n = min(PARTS, max(16, 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    at = [i / n for i in range(1, n)]
-    found = df.select(key.alias("k")).agg(F.percentile_approx("k", at, 20 * n)).first()[0] or []
-    bounds = sorted(set(found))
+    first_bytes = F.conv(F.rpad(F.hex(F.substring(F.col("text").cast("binary"), F.lit(1), F.lit(PREFIX))), 2 * PREFIX, "0"), 16, 10).cast("long")
+    keyed = df.withColumn("__k", F.coalesce("doc_id", F.lit(LOWEST))).withColumn("__t", -first_bytes)  # the order is that of (__k, __t), the largest first
+    bounds = [{"k": k, "t": t} for k, t in bounds_of(keyed, min(PARTS, max(16, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))))]
     # the number of bounds up to a key, in two steps: blocks of bounds by their first ones, then within the last such block
-    step = max(1, round(len(bounds) ** 0.5))
+    step, kind = max(1, round(len(bounds) ** 0.5)), "struct<k: long, t: long>"
     blocks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    upto = lambda xs: F.size(F.filter(xs, lambda b: b <= F.col("__k")))
-    literal = lambda xs, kind="array<long>": F.from_json(F.lit(json.dumps(xs)), kind)  # noqa: E731  one constant, however long
-    keyed = df.withColumn("__k", key).withColumn("__block", upto(literal([b[0] for b in blocks])))
-    within = upto(F.get(literal(blocks, "array<array<long>>"), F.col("__block") - 1))
+    upto = lambda xs: F.size(F.filter(xs, lambda b: (b["k"] < F.col("__k")) | ((b["k"] == F.col("__k")) & (b["t"] <= F.col("__t")))))
+    keyed = keyed.withColumn("__block", upto(literal([b[0] for b in blocks], f"array<{kind}>")))
+    within = upto(F.get(literal(blocks, f"array<array<{kind}>>"), F.col("__block") - 1))
     keyed = keyed.withColumn("__part", F.when(F.col("__block") == 0, 0).otherwise((F.col("__block") - 1) * step + within)).drop("__block")
-    heads = dict(keyed.groupBy("__part").agg(F.max("__k")).collect())
+    heads = {part: {"k": m.k, "t": m.t} for part, m in keyed.groupBy("__part").agg(F.max(F.struct(F.col("__k").alias("k"), F.col("__t").alias("t")))).collect()}
     order = sorted(heads)
     if not order:
         return df.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
     above = {p: order[(i + 1) % len(order)] for i, p in enumerate(order)}  # the lowest part's last row is followed by the top part's first
-    head, to = (F.get(literal([of.get(p) for p in range(order[-1] + 1)]), F.col("__part")) for of in (heads, above))
+    head, to = (F.get(literal([of.get(p) for p in range(order[-1] + 1)], kind), F.col("__part")) for of, kind in ((heads, f"array<{kind}>"), (above, "array<long>")))
+    is_head = (F.col("__k") == head["k"]) & (F.col("__t") == head["t"])
     places = F.array(F.struct(F.lit(0).alias("copy"), F.col("__part").alias("part")))
-    dealt = keyed.withColumn("__at", F.explode(F.when(F.col("__k") == head, F.concat(places, F.array(F.struct(F.lit(1).alias("copy"), to.cast("int").alias("part"))))).otherwise(places)))
+    dealt = keyed.withColumn("__at", F.explode(F.when(is_head, F.concat(places, F.array(F.struct(F.lit(1).alias("copy"), to.cast("int").alias("part"))))).otherwise(places)))
     dealt = dealt.select(*df.columns, "__k", F.col("__at.copy").alias("__copy"), F.col("__at.part").alias("__to"))
     # copies come after the part's own rows; where the part is its own neighbour, its first row's copy closes the circle
     following = F.lead(F.struct(*columns)).over(Window.partitionBy("__to").orderBy("__copy", F.desc("__k"), "text"))

@@ -10,6 +10,7 @@ import struct
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from cairn.llm import common, op4_simhash_gph, op5_scaled_sketch, op10_substring_lsm
 
@@ -275,12 +276,24 @@ def test_op5_sparse_ids(documents):
     assert of_op5(op5_scaled_sketch.edited(documents(values))) == expected_op5([(i, t) for i, t, _ in values])
 
 
+def test_op5_many_rows_of_one_id(spark, documents):
+    """Null and equal ids with different and equal texts: they are parted by text, and the order holds."""
+    r = random.Random(2)
+    texts = ["", "\0", "a", "a\0", "ab", "é x", *(" ".join(r.choices("abcdé", k=r.randint(1, 9))) for _ in range(120))]
+    values = [(r.choice([None, None, 7, 7, 8, -3]), r.choice(texts), "en") for _ in range(500)] + [(i, "once", "en") for i in range(9, 20)]
+    df = documents(values)
+    assert of_op5(op5_scaled_sketch.edited(df)) == expected_op5([(i, t) for i, t, _ in values])
+    sizes = [x["count"] for x in op5_scaled_sketch.with_next(common.texts(df), ["text"]).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 400
+    keyed = df.selectExpr("coalesce(doc_id, -9223372036854775808) AS __k", "-cast(ascii(text) AS long) AS __t")
+    assert len([b for b in op5_scaled_sketch.bounds_of(keyed, 32) if b[1] != op5_scaled_sketch.LOWEST]) > 8
+
+
 def test_op5_runs_no_python(spark, sf):
     assert not re.search("Python|Pandas|Arrow", op5_scaled_sketch.query(spark, sf)._jdf.queryExecution().toString())
 
 
 def test_sketches_merge_and_estimate(spark):
-    from pyspark.sql import functions as F
 
     r = random.Random(5)
     words = [f"w{r.randrange(10**6)}" for _ in range(4000)]
