@@ -27,8 +27,8 @@ from cairn.llm.tokens import encoder
 SEQUENCE, STEP = 2048, 8
 #: The share of sequences that should be ids, for pieces to be left as long as they are.
 FULL = 0.99
-#: Pieces of a class that are ranked by one task.
-RANKED = 2_000
+#: Pieces of a class that are ranked together, about, and such parts that are summed up together: a class is never one group.
+RANKED, SUMMED = 250, 1_000
 #: How many pieces of at most sequence / 2 ** level a rest may be cut into: levels 0 to 3.
 LEVELS = 4
 DOCS = "doc long, doc_id long, n long, whole array<long>, rests array<array<long>>, ids binary"
@@ -216,9 +216,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, sequence: int = SEQUENCE,
     counts = dict(pieces.groupBy("class").count().collect())  # at most sequence / step rows
     salts = {k: -(-n // ranked) for k, n in counts.items()}
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc", "start"), F.element_at(F.create_map(*[F.lit(x) for k, n in sorted(salts.items()) for x in (k, n)]), F.col("class"))) if salts else F.lit(0))
-    # how many pieces of its class come in salted parts before a part: as many rows as parts, one for RANKED pieces
-    parts = salted.groupBy("class", "salt").agg(F.count(F.lit(1)).alias("n"))
-    before = parts.withColumn("before", F.sum("n").over(Window.partitionBy("class").orderBy("salt")) - F.col("n")).drop("n")
+    # how many pieces of its class come in salted parts before a part, in two steps: in blocks of parts before its own, and in its own
+    parts = salted.groupBy("class", "salt").agg(F.count(F.lit(1)).alias("n")).withColumn("block", F.floor(F.col("salt") / SUMMED))
+    earlier = lambda by, order: F.sum("n").over(Window.partitionBy(*by).orderBy(order)) - F.col("n")
+    blocks = parts.groupBy("class", "block").agg(F.sum("n").alias("n")).select("class", "block", earlier(["class"], "block").alias("in_blocks"))
+    before = parts.withColumn("in_parts", earlier(["class", "block"], "salt")).join(blocks, ["class", "block"]).select("class", "salt", (F.col("in_blocks") + F.col("in_parts")).alias("before"))
     rank = F.row_number().over(Window.partitionBy("class", "salt").orderBy("doc", "start")) - 1
     placed = salted.withColumn("rank", rank).join(before, ["class", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
 
