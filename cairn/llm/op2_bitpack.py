@@ -83,9 +83,12 @@ def read_block(block: bytes, document: int | None = None) -> list[np.ndarray]:
     return np.split(unpack(data, width, 0, n_ids), ends[1:-1]) if n_docs else []
 
 
-def write_packed(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabulary: int) -> None:
-    """Encodes `docs` (doc_id, text; null text: empty; equal doc_ids: by text; null doc_id: first) and writes them at `path`."""
-    width = width_of(vocabulary)
+def write_packed(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabulary: int | None = None) -> None:
+    """Encodes `docs` (doc_id, text; null text: empty; equal doc_ids: by text; null doc_id: first) and writes them at `path`.
+
+    Texts are encoded whole; a document longer than BLOCK_IDS is a block of its own. Repeated rows have ids each; other columns
+    are ignored; an empty table gives a folder without rows."""
+    width = width_of(max(vocabulary or encoder(tokenizer).tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1))
     end = struct.pack("<I", end_id)
 
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +116,8 @@ def write_packed(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabu
 
 
 def read_packed(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids before it in the whole table), ids (little-endian unsigned 32-bit) of what write_packed wrote.
+    """doc_id, start (ids before it in the whole table), ids (little-endian unsigned 32-bit) of what write_packed wrote, a row
+    for each document; none for an empty table.
 
     The driver gets one number for each partition that was written, and nothing else."""
     files = spark.read.schema(FILE).parquet(path)
@@ -135,8 +139,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op2: all documents written packed and read back; per document where its ids start, how many, and their crc32."""
     import public_tokenizers
 
-    path = scratch(spark, "packed")
-    write_packed(documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, vocabulary=50_257)
+    path, tokenizer = scratch(spark, "packed"), public_tokenizers.path("byte_bpe_50k.json")
+    write_packed(documents(spark, sf_dir), path, tokenizer, end_id=2)
 
     ids = F.col("ids")
     return read_packed(spark, path).select("doc_id", "start", (F.length(ids) / 4).cast("long").alias("n_tokens"), F.crc32(ids).alias("ids_crc32"))

@@ -152,7 +152,8 @@ def encoder(path: str, pattern: str) -> PrefixEncoder:
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit) of each row's whole text (null: empty). Each row has a row, repeated ones too."""
+    """doc_id, ids (little-endian unsigned 32-bit) of each row's whole text (null: empty), however long. Each row has a row,
+    repeated ones too; a null doc_id stays; other columns are ignored; an empty table gives none."""
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:

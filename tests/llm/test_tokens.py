@@ -76,6 +76,14 @@ def expected_op2(values):
     return out
 
 
+def test_op2_width_follows_the_vocabulary(spark, documents):
+    for more, width in ((None, 16), (70_000, 17)):
+        path = common.scratch(spark, "packed")
+        op2_bitpack.write_packed(documents([(i, "some words " * i, "en") for i in range(9)]), path, P.path("byte_bpe_50k.json"), 2, more)
+        assert {op2_bitpack.HEAD.unpack_from(r.block)[1] for r in spark.read.parquet(path).collect()} == {width}
+        assert [len(r.ids) // 4 for r in op2_bitpack.read_packed(spark, path).orderBy("doc_id").collect()] == [len(library("byte_bpe_50k.json")("some words " * i)) + 1 for i in range(9)]
+
+
 def test_op2(spark, sf, rows):
     assert sorted(map(tuple, op2_bitpack.query(spark, sf).collect())) == expected_op2(rows)
 
@@ -190,7 +198,8 @@ def test_op9(spark, sf, rows):
     assert sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in digest) == sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in got)
 
 
-def test_op9_odd_rows(documents, odd):
+def test_op9_odd_rows(documents, odd, monkeypatch):
+    monkeypatch.setattr(op9_cutting_stock, "SUMMED", 3)
     check_pieces(op9_cutting_stock.pack(documents(odd), P.path("word_bpe_49k.json"), 1).collect(), odd)
     check_pieces(op9_cutting_stock.pack(documents(odd * 3), P.path("word_bpe_49k.json"), 1, ranked=2).collect(), odd * 3)
     alike = [(i, "word " * 1500, "en") for i in range(40)]
