@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from cairn.errors import BindError, ParseError
+from cairn.errors import BindError, EngineError, ParseError
 from cairn.plans import syntax as S
 from cairn.plans.parser import parse, split_statements
 
@@ -41,6 +41,12 @@ def test_bind_errors(engine, text):
         engine.execute(text)
 
 
+@pytest.mark.parametrize("clause", ["GROUP BY GROUPING SETS ((id), (name))", "GROUP BY CUBE (id)", "GROUP BY ROLLUP (id)", "GROUP BY GROUPING SETS (id), name", "GROUP BY ALL", "GROUP BY ()", "INTERSECT SELECT id FROM orders", "EXCEPT SELECT id FROM orders", "UNION ALL SELECT id FROM orders", "FETCH FIRST 1 ROW ONLY", "FOR UPDATE", "WINDOW w AS (PARTITION BY id)"])
+def test_clauses_that_are_refused(engine, clause):
+    with pytest.raises(EngineError):
+        engine.execute(f"SELECT id FROM users {clause}")
+
+
 @pytest.mark.parametrize("values", ["(1)", "(1, 'a', 2)", "('a', 1)", "(1.5, 'a')", "(1 + 1, 'a')", "(NULL, 'a')", "(id, 'a')", "(3000000000, 'a')"])
 def test_insert_checks_values(engine, values):
     engine.execute("CREATE TABLE own (id int, name text)")
