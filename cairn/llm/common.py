@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import os
+import re
+import sys
 import tempfile
 import uuid
+import weakref
+import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -30,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
         return set_dir.rstrip("/")
     if made := sc.getCheckpointDir():
         return made.rstrip("/").rpartition("/")[0]
-    if not sc.master.startswith("local["):
+    if not re.match(r"local($|\[)", sc.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="scratch-"))
     return shared_dir(spark)
@@ -53,12 +56,23 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
-def find_package(spark: SparkSession) -> None:
-    """Python workers look for this package where the driver has it, beside where they look anyway."""
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+#: Sessions' contexts that have this package.
+SENT: weakref.WeakSet = weakref.WeakSet()
+
+
+def send_package(spark: SparkSession) -> None:
+    """Python workers get this package from the driver, as an archive, so it need not be installed where they run."""
+    if (sc := spark.sparkContext) in SENT:
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="package-")) / f"{package.name}-{uuid.uuid4().hex[:8]}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for f in sorted(package.rglob("*.py")):
+            out.write(f, f.relative_to(package.parent))
+    path = list(sys.path)
+    sc.addPyFile(str(archive))
+    sys.path[:] = path  # the driver goes on with the package that it has
+    SENT.add(sc)
 
 
 def ddl(docs: DataFrame, names: list[str]) -> str:
@@ -69,7 +83,7 @@ def ddl(docs: DataFrame, names: list[str]) -> str:
 def batches(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, batch_rows: int = 1000) -> DataFrame:
     """`rows` over each partition's Arrow batches, which are kept small, as texts differ much in length. The setting for that
     is the session's, so it holds until the next call of this."""
-    find_package(df.sparkSession)
+    send_package(df.sparkSession)
     df.sparkSession.conf.set(BATCH_ROWS, str(batch_rows))
 
     def and_release(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
