@@ -39,6 +39,8 @@ AT_ONCE = 1 << 17
 #: For repeats(): words of a shingle, the Jaccard similarity (a fraction) from which documents repeat one another, and bands of
 #: so many least hashes each. A pair of similarity s shares a band with a chance of 1 - (1 - s^4)^16: 0.9998 at 0.8.
 RUN, LEAST_ALIKE, BANDS, ROWS = 5, (4, 5), 16, 4
+#: Documents that share a band's key up to which all of them are compared; of more, two are compared with all.
+PAIRED = 64
 #: What sets the mixes for the least hashes apart.
 STEPS = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * ROWS, np.uint64)
 
@@ -348,8 +350,9 @@ def repeats(docs: DataFrame, count: int, tau: int = TAU, shingle: int = SHINGLE,
     """doc_id of the documents that one with a smaller doc_id nearly repeats, once each.
 
     Documents are linked if their sets of RUN-word shingles are equal, or have a Jaccard similarity of LEAST_ALIKE or more;
-    that is verified for each pair that shares a band of least hashes with the smallest doc_id of the band's key, or that any
-    of `count` fingerprints links. What links reach belongs together. Null doc_ids are never among them; rows of one doc_id
+    that is verified for each pair that shares a band of least hashes (where more than PAIRED different documents share it: for
+    the smallest doc_id and the smallest that is not connected with that, with each other one), or that any of `count`
+    fingerprints links. What links reach belongs together. Null doc_ids are never among them; rows of one doc_id
     are one document; an empty table gives none."""
     docs = docs.filter(F.col("doc_id").isNotNull())
     own = kept(marks(docs, shingle, count), "marks")
@@ -362,8 +365,16 @@ def repeats(docs: DataFrame, count: int, tau: int = TAU, shingle: int = SHINGLE,
     centres = banded.groupBy("band", "key").agg(F.min("first").alias("a"), F.max("first").alias("most")).filter("a < most").drop("most")
     near = alike(docs, banded.join(centres, ["band", "key"]).select("a", F.col("first").alias("b")))
 
-    # fingerprints then need not link what is connected
+    # in keys that hold what is not connected by that, all others are held against one another, or in large ones against a second one
     connected = kept(components(near), "connected")
+    rooted = banded.join(connected, F.col("first") == F.col("node"), "left").select("band", "key", "first", F.coalesce("root", "first").alias("root"))
+    mixed = rooted.groupBy("band", "key").agg(F.min(F.struct("first", "root")).alias("a"), F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high AND n > 2").drop("low", "high")
+    others = kept(rooted.join(mixed, ["band", "key"]).filter("first <> a.first").select("band", "key", "first", "root", "n", F.col("a.root").alias("known")), "others")
+    second = others.filter(f"n > {PAIRED} AND root <> known").groupBy("band", "key").agg(F.min(F.struct("first", "root")).alias("x")).select("band", "key", F.col("x.first").alias("a"), F.col("x.root").alias("a_root"))
+    held = others.filter(f"n <= {PAIRED}").select("band", "key", F.col("first").alias("a"), F.col("root").alias("a_root")).unionByName(second)
+    apart = held.join(others, ["band", "key"]).filter("a_root <> root AND a <> first").select("a", F.col("first").alias("b"))
+
+    # fingerprints need not link what is connected
     prints = texts_once.select("first", F.posexplode("fps").alias("seed", "fp")).join(connected, F.col("first") == F.col("node"), "left").select("seed", "fp", "first", F.coalesce("root", "first").alias("root"))
     prints = kept(prints, "prints")
     classes = kept(prints.groupBy("seed", "fp").agg(F.min(F.struct("first", "root")).alias("x")).select("seed", "fp", "x.first", "x.root"), "classes")
@@ -375,7 +386,7 @@ def repeats(docs: DataFrame, count: int, tau: int = TAU, shingle: int = SHINGLE,
     linked = found.join(first("a"), ["seed", "a"]).join(first("b"), ["seed", "b"]).select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))
     least = classes.select("seed", "fp", F.col("first").alias("b"), F.col("root").alias("b_root"))
     equal = prints.join(least, ["seed", "fp"]).filter("root <> b_root").select(F.col("first").alias("a"), "b")
-    more = alike(docs, linked.unionByName(equal))
+    more = alike(docs, linked.unionByName(equal).unionByName(apart))
     return components(near.unionByName(more).unionByName(copies)).filter("node <> root").select(F.col("node").alias("doc_id"))
 
 

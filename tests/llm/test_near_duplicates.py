@@ -101,6 +101,21 @@ def test_repeats_are_those_of_exact_similarity(documents, rows):
     assert sorted(x.doc_id for x in op4_simhash_gph.repeats(documents(rows), 8).collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("paired", [1, 64])
+def test_repeats_among_documents_of_one_template(documents, monkeypatch, paired):
+    """Documents that share two thirds of their words share bands without repeating one another; pairs among them still do."""
+    monkeypatch.setattr(op4_simhash_gph, "PAIRED", paired)
+    r = random.Random(4)
+    template, values = [f"t{i}" for i in range(200)], []
+    for i in range(30):
+        own = [f"w{r.randrange(10**6)}" for _ in range(60)]
+        near = own[:]
+        near[5] = "changed"
+        values += [(i, " ".join(template + own), "en"), (100 + i, " ".join(template + near), "en")]
+    got = {x.doc_id for x in op4_simhash_gph.repeats(documents(values), 8).collect()}
+    assert got == set(range(100, 130)) if paired > 1 else got <= set(range(100, 130)) and len(got) > 25
+
+
 @pytest.fixture(scope="module")
 def cloud():
     """Fingerprints around three centres, each in reach of many, and others alone."""
