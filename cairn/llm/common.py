@@ -86,13 +86,30 @@ def batches(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     send_package(df.sparkSession)
     df.sparkSession.conf.set(BATCH_ROWS, str(batch_rows))
 
+    task = rows.__module__
+
     def and_release(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entering(task)
         yield from rows(it)
         release()
 
     return df.mapInArrow(and_release, schema)
 
 
+#: What frees the things that a worker holds from task to task, and the module whose task it did last.
+LET_GO: list[Callable[[], None]] = []
+LAST = ""
+
+
+def entering(task: str) -> None:
+    """A worker that goes on to another module's tasks lets go of what it held for the last one's."""
+    global LAST
+    if task != LAST:
+        for clear in LET_GO:
+            clear()
+        LAST = task
+
+
 def release() -> None:
     """Gives free memory back to the system: workers live on and share an executor's memory with those of later stages."""
     pa.default_memory_pool().release_unused()

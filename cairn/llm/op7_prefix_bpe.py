@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm.common import batches, documents, slices, texts
+from cairn.llm.common import LET_GO, batches, documents, slices, texts
 from cairn.llm.tokens import Remembering
 
 class PrefixBPE:
@@ -129,7 +129,7 @@ class PrefixEncoder(Remembering):
     def __init__(self, path: str, pattern: str):
         import regex
 
-        super().__init__(kept=200_000)
+        super().__init__(kept=48 << 20)
         self.bpe, self.cut = PrefixBPE.from_file(path), regex.compile(pattern)
         size = max(self.bpe.bytes_of) + 1
         self.decimals, self.bytes = pa.array([str(i) for i in range(size)]), pa.array([self.bpe.bytes_of.get(i, b"") for i in range(size)], pa.binary())
@@ -147,10 +147,13 @@ class PrefixEncoder(Remembering):
 
 @cache
 def encoder(path: str, pattern: str) -> PrefixEncoder:
-    """This worker's encoder of the file; it lives as long as the worker."""
+    """This worker's encoder of the file; it lives until the worker does something else."""
     return PrefixEncoder(path, pattern)
 
 
+LET_GO.append(encoder.cache_clear)
+
+
 def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit) of each row's whole text (null: empty), however long. Each row has a row,
     repeated ones too; a null doc_id stays; other columns are ignored; an empty table gives none."""

@@ -18,12 +18,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from cairn.llm.common import LET_GO
+
 #: White space as the Unicode property White_Space has it (fixed values); Python's \s also has U+001C to U+001F.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WHITES = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{WHITE}]", c))
 STRETCH = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-#: Stretches that a worker remembers before it lets go of those its last batch did not have, and the longest that it remembers (bounded memory).
-KEPT, LONGEST = 500_000, 64
+#: Bytes that a worker remembers before it lets go of what its last batch did not have, what a stretch takes beside its text
+#: and ids, and the longest that is remembered.
+KEPT, BESIDE, LONGEST = 80 << 20, 200, 64
 #: New stretches that go to the library in one text.
 TOGETHER = 1000
 
@@ -32,7 +35,11 @@ class Remembering:
     """Ids of whole texts as little-endian unsigned 32-bit bytes; what a stretch encodes to is left to `learn`."""
 
     def __init__(self, kept: int = KEPT):
-        self.kept, self.known = kept, {}
+        self.kept, self.known, self.size = kept, {}, 0
+
+    def _remember(self, learned: dict[str, bytes]) -> None:
+        self.known.update(learned)
+        self.size += BESIDE * len(learned) + sum(map(len, learned)) + sum(map(len, learned.values()))
 
     def learn(self, new: Set[str]) -> dict[str, bytes]:
         raise NotImplementedError
@@ -54,14 +61,15 @@ class Remembering:
 
     def _meet(self, met: list[str]) -> list[bytes]:
         """The ids of each of `met`, which are all different."""
-        if len(self.known) > self.kept:
-            self.known = {s: self.known[s] for s in met if s in self.known}
+        if self.size > self.kept:
+            held, self.known, self.size = self.known, {}, 0
+            self._remember({s: held[s] for s in met if s in held})
         ids = list(map(self.known.get, met))
         if new := {s: i for i, (s, x) in enumerate(zip(met, ids, strict=True)) if x is None}:
             learned = self.learn(new.keys())
             for s, x in learned.items():
                 ids[new[s]] = x
-            self.known.update(learned if max(map(len, new)) <= LONGEST else {s: x for s, x in learned.items() if len(s) <= LONGEST})
+            self._remember(learned if max(map(len, new)) <= LONGEST else {s: x for s, x in learned.items() if len(s) <= LONGEST})
         return ids
 
     def _one(self, text: str) -> bytes:
@@ -157,5 +165,8 @@ class Encoder(Remembering):
 
 @functools.cache
 def encoder(path: str) -> Encoder:
-    """This worker's encoder of the file; it lives as long as the worker."""
+    """This worker's encoder of the file; it lives until the worker does something else."""
     return Encoder(path)
+
+
+LET_GO.append(encoder.cache_clear)

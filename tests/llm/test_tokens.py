@@ -13,7 +13,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from cairn.llm import common, op2_bitpack, op7_prefix_bpe, op9_cutting_stock
+from cairn.llm import common, op2_bitpack, op7_prefix_bpe, op9_cutting_stock, tokens
 from cairn.llm.tokens import Encoder
 
 PARTS = ["a", "E", "t", "h", " ", "  ", "\n", "é", "É", "日", "本", "0", "1", "!", ".", "\U0001f600", "я", "Σ", "İ", "ß", "ﬁ", "́", "\t", "\x1c", "\x85", "\xa0", "　", "\0", "'s", "'t", "ing", "tion", "<|endoftext|>", "<|EndOfText|>", "<|startoftext|>", "<|", "</w>", "\r\n", "ǅ", "H\u0331", "I\u0307", "E\u0301", "T\u0308", "K", "Å"]
@@ -38,9 +38,21 @@ def test_encoder_equals_the_library(file, rows, odd):
 
 def test_encoder_forgets_and_still_agrees(rows):
     own, reference = Encoder(P.path("byte_bpe_50k.json")), library("byte_bpe_50k.json")
-    own.kept = 50
+    own.kept = 20_000
     for _, t, _ in rows[:30]:
         assert np.frombuffer(own.encode(pa.array([t]))[0], "<u4").tolist() == reference(t)
+        longest = max(map(len, t.split()))
+        assert own.size <= own.kept + len(t.split()) * (tokens.BESIDE + 5 * longest) and own.size >= tokens.BESIDE * len(own.known)
+
+
+def test_workers_let_go_between_tasks():
+    first = tokens.encoder(P.path("byte_bpe_50k.json"))
+    common.entering("one")
+    held = tokens.encoder(P.path("byte_bpe_50k.json"))
+    common.entering("one")
+    assert held is not first and tokens.encoder(P.path("byte_bpe_50k.json")) is held
+    common.entering("other")
+    assert tokens.encoder(P.path("byte_bpe_50k.json")) is not held
 
 
 @pytest.mark.parametrize("width", [1, 3, 7, 8, 13, 16, 17, 20, 31, 32])
