@@ -41,6 +41,9 @@ AT_ONCE = 1 << 17
 RUN, LEAST_ALIKE, BANDS, ROWS = 5, (4, 5), 16, 4
 #: Documents that share a band's key up to which all of them are compared; of more, two are compared with all.
 PAIRED = 64
+#: What exchanging a signature to probe with costs, against comparing a pair; and fingerprints under one key beyond which their
+#: roots are looked at before they are compared.
+PROBE_COST, LARGE = 16, 256
 #: What sets the mixes for the least hashes apart.
 STEPS = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * ROWS, np.uint64)
 
@@ -143,28 +146,28 @@ def near_share(both: np.ndarray, total: int, sample: np.ndarray, group: list[int
     return np.maximum(model, np.cumsum(np.bincount(distance, minlength=tau + 1)[: tau + 1]) / len(distance))
 
 
-def thresholds(widths: list[int], share: list[np.ndarray], total: int, tau: int) -> tuple[float, list[int]]:
-    """The cheapest thresholds with sum tau - m + 1: signatures to probe with, and candidate pairs, count one each."""
+def thresholds(widths: list[int], share: list[np.ndarray], total: int, tau: int, weight: float = 1) -> tuple[float, list[int]]:
+    """The cheapest thresholds with sum tau - m + 1: candidate pairs count one each, signatures to probe with `weight`."""
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for width, s in zip(widths, share, strict=True):
         after: dict[int, tuple[float, list[int]]] = {}
         for spent, (cost, chosen) in best.items():
             for t in range(-1, tau + 1):
-                more = 0.0 if t < 0 else total * (1 + sum(comb(width, k) for k in range(t + 1))) + total * total / 2 * float(s[t])
+                more = 0.0 if t < 0 else weight * total * (1 + sum(comb(width, k) for k in range(t + 1))) + total * total / 2 * float(s[t])
                 if spent + t not in after or cost + more < after[spent + t][0]:
                     after[spent + t] = (cost + more, [*chosen, t])
         best = after
     return best[tau - len(widths) + 1]
 
 
-def design(prints: DataFrame, total: int, tau: int) -> list[tuple[int, int, list[int]]]:
+def design(prints: DataFrame, total: int, tau: int, weight: float = 1) -> list[tuple[int, int, list[int]]]:
     """(mask, threshold, its bits) of each group in use, the cheapest over several numbers of groups."""
     both = bit_counts(prints)
     sample = np.array([r[0] for r in prints.orderBy(F.xxhash64("fp"), "fp").select("fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)  # those of least hash
     plans = []
     for m in range(2, min(tau + 2, 6)):
         groups = group_bits(both, total, m)
-        cost, chosen = thresholds([len(g) for g in groups], [near_share(both, total, sample, g, tau) for g in groups], total, tau)
+        cost, chosen = thresholds([len(g) for g in groups], [near_share(both, total, sample, g, tau) for g in groups], total, tau, weight)
         plans.append((cost, m, [(sum(1 << b for b in g), t, g) for g, t in zip(groups, chosen, strict=True) if t >= 0]))
     return min(plans, key=lambda x: x[:2])[2]
 
@@ -195,32 +198,34 @@ def links(prints: DataFrame, groups: list[tuple[int, int, list[int]]], tau: int
         return prints.select(*own, every).select(*own, "s.part", fp.bitwiseAND(F.col("s.mask")).bitwiseXOR(F.col("s.flip")).alias("key"), "s.k")
 
     near, exact = keyed(signatures), keyed([x for x in signatures if not x["k"]]).drop("k")
+    crowded = kept(exact.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > (min(LARGE, hot) if rooted else hot)).select(*place), "crowded")
+    any_crowded = not crowded.isEmpty()
+
+    def met(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+        a, b, same = a.alias("a"), b.alias("b"), F.lit(True)
+        for c in on:
+            same = same & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+        once = F.when(F.col("b.k") == 0, F.col("a.fp") < F.col("b.fp")).otherwise(F.col("a.fp") != F.col("b.fp"))
+        apart = F.col("a.root") != F.col("b.root") if rooted else F.lit(True)
+        return a.join(b, same & once & apart & (differ(F.col("a.fp"), F.col("b.fp")) <= tau)).select("a.seed", F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+
+    found = met(exact.join(crowded, place, "left_anti") if any_crowded else exact, near, place)
+    if not any_crowded:
+        return found
+    members = kept(near.join(crowded, place, "left_semi"), "members")
     if rooted:
-        # keys that one root has to itself go, and of others those pairs that would be of the root that has most there
-        each = near.groupBy(*place, "root").agg(F.count(F.lit(1)).alias("n"))
+        # of a crowded key, pairs that would be of the root that has most there are passed over; the others meet in pairs while
+        # no member has too many of them
+        each = members.groupBy(*place, "root").agg(F.count(F.lit(1)).alias("n"))
         most = each.groupBy(*place).agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("m")).filter("n > m.n")
-        keys = kept(most.select(*place, F.col("m.root").alias("most"), F.expr(f"n * (n - m.n) > {hot * hot}").alias("hot")), "keys")
-        near, exact, is_most = near.join(keys, place), exact.join(keys, place), F.col("root") == F.col("most")
-        crowded = keys.filter("hot").select(*place)
-        a = exact.filter("NOT hot").withColumn("side", F.when(is_most, 1).otherwise(0))
-        b = near.filter("NOT hot").withColumn("side", F.explode(F.when(is_most, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
-    else:
-        crowded = kept(exact.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).drop("n"), "hot")
-        a, b = exact.withColumn("side", F.lit(0)), near.withColumn("side", F.lit(0))
-    any_hot = not crowded.isEmpty()
-    if any_hot and not rooted:
-        a = a.join(crowded, place, "left_anti")
-    a, b = a.alias("a"), b.alias("b")
-    met = F.lit(True)
-    for c in [*place, "side"]:
-        met = met & (F.col(f"a.{c}") == F.col(f"b.{c}"))
-    once = F.when(F.col("b.k") == 0, F.col("a.fp") < F.col("b.fp")).otherwise(F.col("a.fp") != F.col("b.fp"))
-    apart = F.col("a.root") != F.col("b.root") if rooted else F.lit(True)
-    found = a.join(b, met & once & apart & (differ(F.col("a.fp"), F.col("b.fp")) <= tau)).select("a.seed", F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
-    if any_hot:
-        members = near.filter("hot") if rooted else near.join(crowded, place, "left_semi")
-        found = found.unionByName(meeting_points(kept(members.select("seed", "fp", *place[1:], "k"), "members"), groups, tau))
-    return found
+        members = kept(members.join(most.select(*place, F.col("m.root").alias("most"), (F.col("n") - F.col("m.n")).alias("rest")), place), "rooted")
+        cold, is_most = members.filter(F.col("rest") <= hot), F.col("root") == F.col("most")
+        a = cold.filter("k = 0").withColumn("side", F.when(is_most, 1).otherwise(0))
+        b = cold.withColumn("side", F.explode(F.when(is_most, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+        found, members = found.unionByName(met(a, b, [*place, "side"])), members.filter(F.col("rest") > hot)
+        if members.isEmpty():
+            return found
+    return found.unionByName(meeting_points(members.select("seed", "fp", "part", "key", "k"), groups, tau))
 
 
 def meeting_points(members: DataFrame, groups: list[tuple[int, int, list[int]]], tau: int) -> DataFrame:
@@ -363,7 +368,8 @@ def repeats(docs: DataFrame, count: int, tau: int = TAU, shingle: int = SHINGLE,
     # bands link each member to one, so what they connect grows with the number of documents only
     banded = texts_once.select("first", F.posexplode("bands").alias("band", "key"))
     centres = banded.groupBy("band", "key").agg(F.min("first").alias("a"), F.max("first").alias("most")).filter("a < most").drop("most")
-    near = alike(docs, banded.join(centres, ["band", "key"]).select("a", F.col("first").alias("b")))
+    banded = kept(banded.join(centres, ["band", "key"]), "banded")  # bands that nothing else shares go no further
+    near = alike(docs, banded.select("a", F.col("first").alias("b")))
 
     # in keys that hold what is not connected by that, all others are held against one another, or in large ones against a second one
     connected = kept(components(near), "connected")
@@ -380,7 +386,7 @@ def repeats(docs: DataFrame, count: int, tau: int = TAU, shingle: int = SHINGLE,
     classes = kept(prints.groupBy("seed", "fp").agg(F.min(F.struct("first", "root")).alias("x")).select("seed", "fp", "x.first", "x.root"), "classes")
     one = classes.filter("seed = 0").select("fp")  # all seeds' bits are alike in kind, so one plan serves
     total = one.count()
-    groups = design(one, total, tau) if total else [((1 << 32) - 1, 1, list(range(32))), (((1 << 32) - 1) << 32, 1, list(range(32, 64)))]
+    groups = design(one, total, tau, PROBE_COST) if total else [((1 << 32) - 1, 1, list(range(32))), (((1 << 32) - 1) << 32, 1, list(range(32, 64)))]
     first = lambda name: classes.select("seed", F.col("fp").alias(name), F.col("first").alias(f"{name}_first"))
     found = links(classes.select("seed", "fp", "root"), groups, tau, hot)
     linked = found.join(first("a"), ["seed", "a"]).join(first("b"), ["seed", "b"]).select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))
