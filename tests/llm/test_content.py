@@ -237,6 +237,14 @@ def test_op3_as_of_and_validators(spark):
     assert resolved(records(spark, [])) == {}
 
 
+def test_op3_ignores_other_columns(spark):
+    a = "http://a.org/x"
+    plain = records(spark, [(1, a, 10, "response", 200, {"ETag": '"1"'}, "p1"), (2, a, 15, "revisit", 304, {"etag": '"1"'}, None), (2, a, 15, "revisit", 304, {"etag": '"1"'}, None), (3, "x" * 50_000, 15, "revisit", 304, {}, None)])
+    more = plain.selectExpr("'x' AS url_key", "*", "'x' AS verdict", "1 AS full", "'y' AS `range`", "'z' AS m", "0 AS matched_id", "null AS carried")
+    got = sorted(map(tuple, op3_warc_revisits.resolve(more).collect()), key=repr)
+    assert got == sorted(map(tuple, op3_warc_revisits.resolve(plain).collect()), key=repr) and [r[5] for r in got] == ["resolved", "resolved", "no-response"]
+
+
 def test_op3_hot_url_over_many_ranges(spark):
     r = random.Random(1)
     values = [(i, "http://hot.org" if i % 3 else f"http://h{i % 50}.org", r.randrange(5000), r.choice(["response", "revisit", "revisit"]), 200, {}, "p") for i in range(3000)]
