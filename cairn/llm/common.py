@@ -44,9 +44,33 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: What kept() has written, for each call of only() that is under way.
+MADE: list[list[str]] = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def only(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What `make` gives, kept; what it kept on the way is deleted, as nothing reads it any more."""
+    MADE.append([])
+    try:
+        out = make()
+    finally:
+        made = MADE.pop()
+    result = kept(out, name)
+    for path in made:
+        delete(result.sparkSession, path)
+    return result
+
+
 def kept(df: DataFrame, name: str, **options: str) -> DataFrame:
     """`df` written as Parquet in the shared folder and read again: lineage is cut, and a lost executor costs no recomputation."""
     path = scratch(df.sparkSession, name)
+    if MADE:
+        MADE[-1].append(path)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

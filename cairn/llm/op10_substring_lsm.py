@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from cairn.llm.common import batches, documents, kept, scratch, slices
+from cairn.llm.common import batches, delete, documents, kept, scratch, slices
 from cairn.sources.journal import Journal
 
 WINDOW, GRAM, FAN = 13, 5, 4
@@ -458,6 +458,7 @@ def dedup(docs: DataFrame, parts: int = BATCHES, **options) -> DataFrame:
     bounds = sorted(set(docs.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10_000)).first()[0] or [])) if parts > 1 else []
     ranges = zip([None, *bounds], [*bounds, None], strict=True)
     found = [index.add(docs.filter((key > low if low is not None else F.lit(True)) & (key <= high if high is not None else F.lit(True)))) for low, high in ranges]
+    delete(docs.sparkSession, f"{index.path}/{index._runs_in(index.state['buckets'])}")  # no batch is to come, and results need no run
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest, xxh128_digest
 
-from cairn.llm.common import batches, documents, kept, slices, texts
+from cairn.llm.common import batches, documents, kept, only, slices, texts
 
 BITS, TAU, SHINGLE, SEED = 64, 3, 3, 42
 #: Fingerprints of one key beyond which they meet at points instead of in pairs. Comparing a pair takes some 50 ns, a member
@@ -352,6 +352,11 @@ def alike(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame, count: int, tau: int = TAU, shingle: int = SHINGLE, hot: int = HOT) -> DataFrame:
+    """What found_repeats() finds; all else that it wrote is gone."""
+    return only(lambda: found_repeats(docs, count, tau, shingle, hot), "repeats")
+
+
+def found_repeats(docs: DataFrame, count: int, tau: int, shingle: int, hot: int) -> DataFrame:
     """doc_id of the documents that one with a smaller doc_id nearly repeats, once each.
 
     Documents are linked if their sets of RUN-word shingles are equal, or have a Jaccard similarity of LEAST_ALIKE or more;
