@@ -30,16 +30,20 @@ class Typed:
         return self.column if kind == self.type else self.column.cast(kind)
 
 
-def literal(value: object, kind: str) -> Typed:
+def literal_type(value: object, kind: str) -> T.DataType:
+    """The type of a literal that is in range; without a Column, as an INSERT has many."""
     if kind == "null":
         raise BindError("a NULL literal has no type here")
-    if kind == "int":
-        if not -(2**31) <= value < 2**31:
-            raise BindError(f"integer literal out of range: {value}")
-        return Typed(F.lit(value).cast("int"), T.IntegerType())
+    if kind == "int" and not -(2**31) <= value < 2**31:
+        raise BindError(f"integer literal out of range: {value}")
+    return {"int": T.IntegerType(), "float": T.DoubleType()}.get(kind, T.StringType())
+
+
+def literal(value: object, kind: str) -> Typed:
+    own = literal_type(value, kind)
     if kind == "float":
-        return Typed(F.lit(float(value)).cast("double"), T.DoubleType(), float(value))
-    return Typed(F.lit(value), T.StringType())
+        return Typed(F.lit(float(value)).cast("double"), own, float(value))
+    return Typed(F.lit(value).cast("int") if kind == "int" else F.lit(value), own)
 
 
 def meet(a: Typed, b: Typed, what: str) -> T.DataType:
