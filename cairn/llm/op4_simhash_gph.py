@@ -39,8 +39,11 @@ AT_ONCE = 1 << 17
 #: For repeats(): words of a shingle, the Jaccard similarity (a fraction) from which documents repeat one another, and bands of
 #: so many least hashes each. A pair of similarity s shares a band with a chance of 1 - (1 - s^4)^16: 0.9998 at 0.8.
 RUN, LEAST_ALIKE, BANDS, ROWS = 5, (4, 5), 16, 4
-#: Documents that share a band's key up to which all of them are compared; of more, two are compared with all.
-PAIRED = 64
+#: Documents that share a band's key or a fingerprint up to which they meet as pairs of rows; more are dealt into blocks of
+#: so many, and every two blocks are compared by bits that stand for their sets, LANES words of 64.
+PAIRED, BLOCK, LANES = 64, 2048, 32
+#: Bits, a power of two, of the filter that keeps texts which no pair needs from being hashed and exchanged.
+SIEVE = 1 << 24
 #: What exchanging a signature to probe with costs, against comparing a pair; and fingerprints under one key beyond which their
 #: roots are looked at before they are compared.
 PROBE_COST, LARGE = 16, 256
@@ -185,10 +188,10 @@ def differ(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def links(prints: DataFrame, groups: list[tuple[int, int, list[int]]], tau: int = TAU, hot: int = HOT) -> DataFrame:
+def links(prints: DataFrame, groups: list[tuple[int, int, list[int]]], tau: int = TAU, hot: int = HOT, every: bool = False) -> DataFrame:
     """(seed, a, b): links between different fingerprints of one seed, enough of them to connect all that differ in at most
-    tau bits, and none between others. `prints`: seed, fp, each pair once; with `root`, links between those of one root, which
-    are connected already, may be missing."""
+    tau bits, and none between others. `prints`: seed, fp, each pair once; with `root` (each seed, fp and root once), links
+    between those of one root, which are connected already, may be missing; with `every` too, no other link is."""
     fp, rooted, place = F.col("fp"), "root" in prints.columns, ["seed", "part", "key"]
     own = ["seed", "fp", *(["root"] if rooted else [])]
     signatures = [{"part": i, "k": k, "mask": signed(mask), "flip": x} for i, (mask, t, bits) in enumerate(groups) for k in range(t + 1) for x in flips(bits, k)]
@@ -219,11 +222,12 @@ def links(prints: DataFrame, groups: list[tuple[int, int, list[int]]], tau: int
         each = members.groupBy(*place, "root").agg(F.count(F.lit(1)).alias("n"))
         most = each.groupBy(*place).agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("m")).filter("n > m.n")
         members = kept(members.join(most.select(*place, F.col("m.root").alias("most"), (F.col("n") - F.col("m.n")).alias("rest")), place), "rooted")
-        cold, is_most = members.filter(F.col("rest") <= hot), F.col("root") == F.col("most")
-        a = cold.filter("k = 0").withColumn("side", F.when(is_most, 1).otherwise(0))
-        b = cold.withColumn("side", F.explode(F.when(is_most, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
-        found, members = found.unionByName(met(a, b, [*place, "side"])), members.filter(F.col("rest") > hot)
-        if members.isEmpty():
+        cold, is_most = members if every else members.filter(F.col("rest") <= hot), F.col("root") == F.col("most")
+        ways = F.greatest(F.lit(1), F.ceil(F.col("rest") / hot))  # a key of many is met in so many parts
+        a = cold.filter("k = 0").withColumn("side", F.when(is_most, 1).otherwise(0)).withColumn("salt", F.pmod(F.xxhash64("fp"), ways))
+        b = cold.withColumn("side", F.explode(F.when(is_most, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))))).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), ways - 1)))
+        found, members = found.unionByName(met(a, b, [*place, "side", "salt"])), members.filter(F.col("rest") > hot)
+        if every or members.isEmpty():
             return found
     return found.unionByName(meeting_points(members.select("seed", "fp", "part", "key", "k"), groups, tau))
 
@@ -333,6 +337,15 @@ def marks(docs: DataFrame, shingle: int, count: int) -> DataFrame:
     return batches(texts(docs), rows, "doc_id long, same binary, fps array<long>, bands array<long>")
 
 
+def sieved(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id and text of all rows whose doc_id is one of `wanted` (doc_id), and of some others: the ids' hashes are bits of
+    a table of bounded size, which goes to where the texts are, as these are more than can be exchanged."""
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE))
+    words = wanted.select(at("doc_id").alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(at & 63))")).alias("bits"))
+    rows = texts(docs).withColumn("at", at("doc_id")).withColumn("word", F.shiftright("at", 6))
+    return rows.join(F.broadcast(words), "word").filter(F.expr("bit_get(bits, int(at & 63)) = 1")).select("doc_id", "text")
+
+
 def alike(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of `pairs` (a, b: doc_ids) whose sets of shingles have a Jaccard similarity of LEAST_ALIKE or more, once each."""
     pairs = kept(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "pairs")
@@ -351,6 +364,63 @@ def alike(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return kept(pairs.join(own("b"), "b").join(own("a"), "a").filter(enough).select("a", "b").distinct(), "alike")
 
 
+def set_bits(hashes: np.ndarray) -> bytes:
+    """LANES words: a bit is set if a hash of the set falls on it."""
+    out = np.zeros(64 * LANES, np.uint8)
+    out[hashes % np.uint64(64 * LANES)] = 1
+    return np.packbits(out).tobytes()
+
+
+def may_be_alike(sizes: np.ndarray, bits: np.ndarray, size: int, own: np.ndarray) -> np.ndarray:
+    """Which of several sets, by their sizes and bits, can be as similar as LEAST_ALIKE to the one of `size` and bits `own`.
+    A bit that one has and the other lacks is an element that they do not share, so none that is so similar is left out."""
+    up, down = LEAST_ALIKE
+    both = np.bitwise_count(bits & own).sum(axis=1, dtype=np.int64)
+    shared = np.minimum(sizes - np.bitwise_count(bits).sum(axis=1, dtype=np.int64), size - int(np.bitwise_count(own).sum())) + both
+    return shared * (up + down) >= (sizes + size) * up
+
+
+def in_blocks(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of documents of one place and different roots: all that can be alike. `members`: place, first, root, n (how
+    many the place has). They are dealt into blocks, and each two blocks of a place are compared in a group of their own,
+    so what a task holds is bounded; work grows with the square of a place, at some 50 ns a pair."""
+    block = BLOCK
+
+    def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in it:
+            for batch in slices(whole):
+                sets = [shingle_set(t.encode("utf-8", "replace").lower().split()) for t in batch.column(1).to_pylist()]
+                yield pa.record_batch([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(map(set_bits, sets), pa.binary())], names=["doc_id", "size", "bits"])
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.sort_by("own")  # the block that meets the other, if there are two, comes last
+        first, root, size, own = (group[c].to_numpy() for c in ("first", "root", "size", "own"))
+        bits = np.frombuffer(b"".join(group["bits"].to_pylist()), np.uint64).reshape(-1, LANES)
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        two = int(np.count_nonzero(own != own[0]))
+        for i in range(len(first) - two if two else len(first)):
+            at = len(first) - two if two else i + 1
+            near = np.flatnonzero(may_be_alike(size[at:], bits[at:], int(size[i]), bits[i]) & (root[at:] != root[i]) & (first[at:] != first[i])) + at
+            left.append(np.full(len(near), first[i]))
+            right.append(first[near])
+        return pa.table({"a": np.concatenate(left), "b": np.concatenate(right)})
+
+    sizes = batches(sieved(docs, members.select(F.col("first").alias("doc_id"))), rows, "doc_id long, size long, bits binary")
+    ways = F.ceil(F.col("n") / block)
+    dealt = members.join(sizes, F.col("first") == F.col("doc_id")).drop("doc_id").withColumn("ways", ways).withColumn("own", F.pmod(F.xxhash64("first"), F.col("ways")))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ways") - 1)))
+    met = met.select("place", "first", "root", "size", "bits", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    return met.groupBy("place", "low", "high").applyInArrow(compare, "a long, b long")
+
+
+def unconnected(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of `members` (place, first, root, n) of one place and different roots, but for some that are not alike."""
+    few, many = members.filter(F.col("n") <= PAIRED), members.filter(F.col("n") > PAIRED)
+    a, b = few.alias("a"), few.alias("b")
+    apart = a.join(b, (F.col("a.place") == F.col("b.place")) & (F.col("a.root") != F.col("b.root")) & (F.col("a.first") < F.col("b.first"))).select(F.col("a.first").alias("a"), F.col("b.first").alias("b"))
+    return apart if many.isEmpty() else apart.unionByName(in_blocks(docs, many))
+
+
 def repeats(docs: DataFrame, count: int, tau: int = TAU, shingle: int = SHINGLE, hot: int = HOT) -> DataFrame:
     """What found_repeats() finds; all else that it wrote is gone."""
     return only(lambda: found_repeats(docs, count, tau, shingle, hot), "repeats")
@@ -360,10 +430,9 @@ def found_repeats(docs: DataFrame, count: int, tau: int, shingle: int, hot: int)
     """doc_id of the documents that one with a smaller doc_id nearly repeats, once each.
 
     Documents are linked if their sets of RUN-word shingles are equal, or have a Jaccard similarity of LEAST_ALIKE or more;
-    that is verified for each pair that shares a band of least hashes (where more than PAIRED different documents share it: for
-    the smallest doc_id and the smallest that is not connected with that, with each other one), or that any of `count`
-    fingerprints links. What links reach belongs together. Null doc_ids are never among them; rows of one doc_id
-    are one document; an empty table gives none."""
+    that is verified for each pair that shares a band of least hashes, or that any of `count` fingerprints links, but for those
+    that are connected already or whose sets' bits show that they are not alike. What links reach belongs together. Null
+    doc_ids are never among them; rows of one doc_id are one document; an empty table gives none."""
     docs = docs.filter(F.col("doc_id").isNotNull())
     own = kept(marks(docs, shingle, count), "marks")
     firsts = own.groupBy("same").agg(F.min("doc_id").alias("first"))
@@ -376,28 +445,29 @@ def found_repeats(docs: DataFrame, count: int, tau: int, shingle: int, hot: int)
     banded = kept(banded.join(centres, ["band", "key"]), "banded")  # bands that nothing else shares go no further
     near = alike(docs, banded.select("a", F.col("first").alias("b")))
 
-    # in keys that hold what is not connected by that, all others are held against one another, or in large ones against a second one
+    # in keys that hold what is not connected by that, all others are held against one another
     connected = kept(components(near), "connected")
+    place = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), F.col(x).alias("x"), F.col(y).alias("y")).alias("place")
     rooted = banded.join(connected, F.col("first") == F.col("node"), "left").select("band", "key", "first", F.coalesce("root", "first").alias("root"))
-    mixed = rooted.groupBy("band", "key").agg(F.min(F.struct("first", "root")).alias("a"), F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high AND n > 2").drop("low", "high")
-    others = kept(rooted.join(mixed, ["band", "key"]).filter("first <> a.first").select("band", "key", "first", "root", "n", F.col("a.root").alias("known")), "others")
-    second = others.filter(f"n > {PAIRED} AND root <> known").groupBy("band", "key").agg(F.min(F.struct("first", "root")).alias("x")).select("band", "key", F.col("x.first").alias("a"), F.col("x.root").alias("a_root"))
-    held = others.filter(f"n <= {PAIRED}").select("band", "key", F.col("first").alias("a"), F.col("root").alias("a_root")).unionByName(second)
-    apart = held.join(others, ["band", "key"]).filter("a_root <> root AND a <> first").select("a", F.col("first").alias("b"))
+    mixed = rooted.groupBy("band", "key").agg(F.min("first").alias("known"), F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high AND n > 2").drop("low", "high")
+    others = rooted.join(mixed, ["band", "key"]).filter("first <> known").select(place("band", "band", "key"), "first", "root", "n")
 
-    # fingerprints need not link what is connected
+    # so are those of one fingerprint; fingerprints need not link what is connected
     prints = texts_once.select("first", F.posexplode("fps").alias("seed", "fp")).join(connected, F.col("first") == F.col("node"), "left").select("seed", "fp", "first", F.coalesce("root", "first").alias("root"))
     prints = kept(prints, "prints")
-    classes = kept(prints.groupBy("seed", "fp").agg(F.min(F.struct("first", "root")).alias("x")).select("seed", "fp", "x.first", "x.root"), "classes")
-    one = classes.filter("seed = 0").select("fp")  # all seeds' bits are alike in kind, so one plan serves
+    classes = kept(prints.select("seed", "fp", "root").distinct(), "classes")
+    shared = kept(classes.groupBy("seed", "fp").agg(F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("seed", "fp"), "shared")
+    equal = prints.join(shared, ["seed", "fp"])
+    equal = equal.join(equal.groupBy("seed", "fp").agg(F.count(F.lit(1)).alias("n")), ["seed", "fp"]).select(place("print", "seed", "fp"), "first", "root", "n")
+    apart = unconnected(docs, kept(others.unionByName(equal), "others"))
+
+    one = classes.filter("seed = 0").select("fp").distinct()  # all seeds' bits are alike in kind, so one plan serves
     total = one.count()
     groups = design(one, total, tau, PROBE_COST) if total else [((1 << 32) - 1, 1, list(range(32))), (((1 << 32) - 1) << 32, 1, list(range(32, 64)))]
-    first = lambda name: classes.select("seed", F.col("fp").alias(name), F.col("first").alias(f"{name}_first"))
-    found = links(classes.select("seed", "fp", "root"), groups, tau, hot)
-    linked = found.join(first("a"), ["seed", "a"]).join(first("b"), ["seed", "b"]).select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))
-    least = classes.select("seed", "fp", F.col("first").alias("b"), F.col("root").alias("b_root"))
-    equal = prints.join(least, ["seed", "fp"]).filter("root <> b_root").select(F.col("first").alias("a"), "b")
-    more = alike(docs, linked.unionByName(equal).unionByName(apart))
+    member = lambda name: prints.select("seed", F.col("fp").alias(name), F.col("first").alias(f"{name}_first"), F.col("root").alias(f"{name}_root"))
+    found = links(classes, groups, tau, hot, every=True).distinct()
+    linked = found.join(member("a"), ["seed", "a"]).join(member("b"), ["seed", "b"]).filter("a_root <> b_root").select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))
+    more = alike(docs, linked.unionByName(apart))
     return components(near.unionByName(more).unionByName(copies)).filter("node <> root").select(F.col("node").alias("doc_id"))
 
 

@@ -116,6 +116,40 @@ def test_repeats_among_documents_of_one_template(documents, monkeypatch, paired)
     assert got == set(range(100, 130)) if paired > 1 else got <= set(range(100, 130)) and len(got) > 25
 
 
+@pytest.mark.parametrize("block", [3, 2048])
+@pytest.mark.parametrize("shape", ["one band", "one print", "two prints", "crowded prints"])
+def test_repeats_in_crowded_places(documents, monkeypatch, shape, block):
+    """All documents share a place, and none of the two smallest repeats another: pairs among the others are found all the same."""
+    m, r = op4_simhash_gph, random.Random(7)
+    monkeypatch.setattr(m, "PAIRED", 1)
+    monkeypatch.setattr(m, "BLOCK", block)
+    bands, prints = {
+        "one band": ("array_repeat(5L, 16)", "cast(array() AS array<bigint>)"),
+        "one print": ("cast(array() AS array<bigint>)", "array(7L)"),
+        "two prints": ("cast(array() AS array<bigint>)", "array(IF(doc_id < 100, 7L, 6L))"),
+        "crowded prints": ("cast(array() AS array<bigint>)", "array(shiftleft(1L, int(doc_id % 100 + IF(doc_id < 100, 0, 20))))"),
+    }[shape]
+    marks = m.marks
+    monkeypatch.setattr(m, "marks", lambda *a: marks(*a).withColumns({"bands": F.expr(bands), "fps": F.expr(prints)}))
+    template, values = [f"t{i}" for i in range(100)], [(0, "none like this one", "en"), (1, "nor like that one", "en")]
+    for i in range(2, 14):
+        own = [f"w{r.randrange(10**6)}" for _ in range(100)]
+        values += [(i, " ".join(template + own), "en"), (100 + i, " ".join([*template, *own[:-1], "x"]), "en")]
+    assert sorted(x.doc_id for x in m.repeats(documents(values), 1, hot=1).collect()) == list(range(102, 114))
+
+
+def test_sets_that_are_alike_pass_by_their_bits():
+    m, r = op4_simhash_gph, np.random.default_rng(1)
+    for size in (1, 4, 5, 60, 400, 9000):
+        own = np.unique(r.integers(0, 1 << 64, size, np.uint64))
+        sets = [np.unique(np.concatenate([own[int(k * size / 20) :], r.integers(0, 1 << 64, int(n * size / 20), np.uint64)])) for k in range(6) for n in range(7)]
+        bits = np.frombuffer(b"".join(map(m.set_bits, sets)), np.uint64).reshape(-1, m.LANES)
+        got = m.may_be_alike(np.array([len(x) for x in sets]), bits, size, np.frombuffer(m.set_bits(own), np.uint64))
+        alike = np.array([5 * len(np.intersect1d(x, own)) >= 4 * len(np.union1d(x, own)) for x in sets])
+        assert alike.any() and got[alike].all()
+        assert not m.may_be_alike(np.array([400]), np.frombuffer(m.set_bits(r.integers(0, 1 << 64, 400, np.uint64)), np.uint64).reshape(1, -1), 400, np.frombuffer(m.set_bits(r.integers(0, 1 << 64, 400, np.uint64)), np.uint64)).any()
+
+
 @pytest.fixture(scope="module")
 def cloud():
     """Fingerprints around three centres, each in reach of many, and others alone."""
