@@ -349,7 +349,7 @@ def sieved(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def alike(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of `pairs` (a, b: doc_ids) whose sets of shingles have a Jaccard similarity of LEAST_ALIKE or more, once each."""
     pairs = kept(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
@@ -357,7 +357,7 @@ def alike(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 sets = [shingle_set(t.encode("utf-8", "replace").lower().split()).view(np.int64) for t in batch.column(1).to_pylist()]
                 yield pa.record_batch([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "hashes"])
 
-    sets = kept(batches(texts(docs).join(wanted, "doc_id", "left_semi"), rows, "doc_id long, hashes array<long>"), "sets")
+    sets = kept(batches(sieved(docs, wanted), rows, "doc_id long, hashes array<long>"), "sets")
     own = lambda name: sets.select(F.col("doc_id").alias(name), F.col("hashes").alias(f"{name}_hashes"))
     both, (up, down) = F.size(F.array_intersect("a_hashes", "b_hashes")), LEAST_ALIKE
     enough = both * (up + down) >= (F.size("a_hashes") + F.size("b_hashes")) * up  # both / (a + b - both) >= up / down

@@ -150,6 +150,25 @@ def test_sets_that_are_alike_pass_by_their_bits():
         assert not m.may_be_alike(np.array([400]), np.frombuffer(m.set_bits(r.integers(0, 1 << 64, 400, np.uint64)), np.uint64).reshape(1, -1), 400, np.frombuffer(m.set_bits(r.integers(0, 1 << 64, 400, np.uint64)), np.uint64)).any()
 
 
+@pytest.mark.parametrize("sieve", [64, 1 << 24])
+def test_verifying_pairs_exchanges_no_texts(spark, documents, rows, monkeypatch, sieve):
+    """Texts go straight to where their sets are made, whatever the ids' filter lets through."""
+    m, seen = op4_simhash_gph, []
+    monkeypatch.setattr(m, "SIEVE", sieve)
+    batches = m.batches
+    monkeypatch.setattr(m, "batches", lambda df, *a: seen.append(df) or batches(df, *a))
+    texts = [(1, "a b c d e f g", "en"), (2, "a b c d e f g", "en"), (3, "other words than those", "en"), *[(i + 10, t, "en") for i, t, _ in rows[:50]]]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = m.alike(documents(texts), spark.createDataFrame([(1, 2), (3, 1)], "a long, b long")).collect()
+        plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert [tuple(x) for x in got] == [(1, 2)] and {1, 2, 3} <= {x.doc_id for x in seen[0].collect()}
+    assert "SortMergeJoin" not in plan and not re.search(r"Exchange hashpartitioning\(doc_id", plan)
+
+
 @pytest.fixture(scope="module")
 def cloud():
     """Fingerprints around three centres, each in reach of many, and others alone."""
