@@ -79,6 +79,26 @@ def test_blocks_hold_documents():
     assert [op2_bitpack.read_block(block, i)[0].tobytes() for i in range(4)] == docs
 
 
+def test_encoder_asks_for_few_stretches_at_a_time(monkeypatch):
+    """The library takes longer over a stretch of a long text, so new ones go to it by the few; ids are those of whole texts."""
+    e, seen = tokens.Encoder(P.path("byte_bpe_50k.json")), []
+    together = e._together
+    monkeypatch.setattr(e, "_together", lambda new: seen.append(len(new)) or together(new))
+    texts = ["", " ".join(f"w{i}" for i in range(1500)), "a\u3000", "é ü\u2003x \x1c y\x1f", "end \n"]
+    got = e.encode(pa.array(["skipped", *texts]).slice(1))
+    assert got == [np.array(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert e.encode(pa.array([], pa.string())) == [] and e.encode(pa.array(["", ""])) == [b"", b""]
+    assert sum(seen) >= 1499 and max(seen) <= 200
+
+
+def test_parts_that_end_in_white_space():
+    e = tokens.Encoder(P.path("word_bpe_49k.json"))
+    met = ["", "a", " ", "b\n", "é", "e\u0301", "x\u3000", "\x85", "y\xa0", "z\x1c", "\x00", "c\u2028d", "\U0001f600"]
+    want = [s[-1:] in tokens.WHITES or (not s.isascii() and e.unsafe(s)) for s in met]
+    assert any(want) and e._odd(pa.array(met), met).tolist() == want
+    assert e._odd(pa.array(["q ", *met]).slice(1), met).tolist() == want and e._odd(pa.array([], pa.string()), []).tolist() == []
+
+
 def expected_op2(values):
     encode, at, out = library("byte_bpe_50k.json"), 0, []
     for i, t in sorted(((i, t or "") for i, t, _ in values), key=lambda x: (x[0] is not None, x)):
