@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from cairn.engine import Engine
 from cairn.queries import session
 
@@ -37,6 +39,22 @@ def test_self_join_prunes_columns(spark):
     assert "ReadSchema: struct<l_orderkey:bigint>" in p
 
 
+def test_a_join_that_fans_out_is_spread(spark, tmp_path):
+    """Two tables of one file each: by a key of few values many tasks give the rows, and all of them; by a key of many no rows
+    are moved."""
+    for t, n in (("small", 6_000), ("large", 30_000)):
+        spark.range(n).selectExpr(f"id AS {t[0]}_id", f"cast(if(id % 50 = 0, NULL, id % 10) AS int) AS {t[0]}_key").coalesce(1).write.parquet(str(tmp_path / t))
+    e = Engine(spark).register_parquet("small", str(tmp_path / "small")).register_parquet("large", str(tmp_path / "large"))
+    for text in ("SELECT s_id, l_id FROM small JOIN large ON s_key = l_key", "SELECT s_id, l_id FROM small, large WHERE s_key = l_key AND s_id > -1"):
+        assert "RoundRobinPartitioning(4)" in e.explain(text)
+        given = e.sql(text).selectExpr("s_id", "l_id", "spark_partition_id() AS task")
+        # of key 0 one in five is NULL, of the others none
+        r = given.selectExpr("count(*)", "sum(s_id * l_id % 7919)", "count(DISTINCT task)").head()
+        whole = spark.read.parquet(str(tmp_path / "small")).join(spark.read.parquet(str(tmp_path / "large")), F.expr("s_key = l_key")).selectExpr("count(*)", "sum(s_id * l_id % 7919)").head()
+        assert tuple(r)[:2] == tuple(whole) == (9 * 600 * 3000 + 480 * 2400, whole[1]) and r[2] > 1
+    assert "RoundRobin" not in e.explain("SELECT s_id, l_id FROM small JOIN large ON s_id = l_id")
+
+
 def rows_from_scan(spark, df):
     """Rows that the scan of `df` gave when it ran, and how many files it opened."""
     df.collect()
