@@ -4,6 +4,8 @@ For each prefix of a byte string only one token can end its encoding: the encodi
 shorter prefix and one more token, and a token may follow another only where merging the two by rank would give just these
 two. So `last[i]` holds the token that ends the encoding of the first i bytes. Its predecessor is `last[i - len]`, an append
 continues from the end of the table, and an edit needs the table anew only from the token before it until old and new agree.
+A text that is encoded once needs the entries on its way only: `encode` goes forward by the longest token that may follow, and back
+from prefixes that nothing goes on from.
 """
 
 from __future__ import annotations
@@ -33,6 +35,12 @@ class PrefixBPE:
         self.longest = max(map(len, ranks))
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.follows: dict[tuple[int, int], bool] = {}
+        self.shorter: dict[int, int | None] = {}
+        #: The longest token's length by the first three bytes.
+        self.reach: dict[bytes, int] = {}
+        for b in ranks:
+            if len(b) > self.reach.get(b[:3], 2):
+                self.reach[b[:3]] = len(b)
 
     @classmethod
     def from_file(cls, path: str) -> PrefixBPE:
@@ -92,6 +100,40 @@ class PrefixBPE:
     def table(self, data: bytes) -> list:
         return self.extend(data, [None])
 
+    def _longest(self, data: bytes, at: int, most: int) -> int | None:
+        """The longest token of at most `most` bytes that is in `data` from `at` on and that merges can make."""
+        for end in range(min(len(data), at + most), at, -1):
+            token = self.ranks.get(data[at:end])
+            if token is not None and ((h := self.half(token)) is None or h[0] >= 0):
+                return token
+        return None
+
+    def encode(self, data: bytes) -> list[int]:
+        """The encoding of `data`, without a table. Of each prefix that is reached the tokens so far are the encoding, so one from
+        which no token leads on is in no encoding of more, and is not reached again."""
+        may, reach, bytes_of, out, at, dead = self.follows, self.reach, self.bytes_of, [], 0, set()
+        while at < len(data):
+            token = self._longest(data, at, reach.get(data[at : at + 3], 2))
+            while True:
+                end = at + len(bytes_of[token])
+                if end not in dead:
+                    if not out:
+                        break
+                    ok = may.get((out[-1], token))
+                    if self.may_follow(out[-1], token) if ok is None else ok:
+                        break
+                if token not in self.shorter:
+                    self.shorter[token] = self._longest(bytes_of[token], 0, end - at - 1)
+                if (token := self.shorter[token]) is None:
+                    if not out:  # ranks that are not those of merges
+                        return list(self.tokens(self.table(data)))
+                    dead.add(at)
+                    token = out.pop()
+                    at -= len(bytes_of[token])
+            out.append(token)
+            at = end
+        return out
+
     def tokens(self, table: list, end: int | None = None) -> tuple[int, ...]:
         """The encoding of the first `end` bytes (all without it), read backwards from the table."""
         out, at = [], len(table) - 1 if end is None else end
@@ -135,8 +177,15 @@ class PrefixEncoder(Remembering):
         self.decimals, self.bytes = pa.array([str(i) for i in range(size)]), pa.array([self.bpe.bytes_of.get(i, b"") for i in range(size)], pa.binary())
 
     def learn(self, new: Set[str]) -> dict[str, bytes]:
-        table, tokens, cut = self.bpe.table, self.bpe.tokens, self.cut.findall
-        return {s: struct.pack(f"<{len(ids)}I", *ids) for s in new for ids in ([t for m in cut(s) for t in tokens(table(m.encode()))],)}
+        encode, cut, known = self.bpe.encode, self.cut.findall, {}
+
+        def ids(match: str) -> bytes:
+            if (x := known.get(match)) is None:
+                got = encode(match.encode())
+                x = known[match] = struct.pack(f"<{len(got)}I", *got)
+            return x
+
+        return {s: b"".join(map(ids, cut(s))) for s in new}
 
     def joined(self, ids: list[bytes], words: pa.Array, between) -> list:
         """For each text's ids, what `words` has for them, joined."""

@@ -237,3 +237,22 @@ def test_op9_odd_rows(documents, odd, monkeypatch):
     alike = [(i, "word " * 1500, "en") for i in range(40)]
     assert check_pieces(op9_cutting_stock.pack(documents(alike), P.path("word_bpe_49k.json"), 1).collect(), alike) > 0.97
     assert op9_cutting_stock.pack(documents([]), P.path("word_bpe_49k.json"), 1).collect() == []
+
+
+def test_op7_encodes_without_a_table(monkeypatch):
+    """The forward way gives what the table gives, on runs of tokens, odd bytes and a text without an end, and learning a stretch
+    fills no table, nor encodes a piece twice."""
+    bpe = op7_prefix_bpe.PrefixBPE.from_file(P.path("byte_bpe_multi_50k.tiktoken"))
+    r = random.Random(7)
+    some = list(bpe.ranks)
+    for n in range(600):
+        data = b"".join(r.choices(some, k=r.randint(0, 9))) if n % 2 else bytes(r.choice(b"aeitn \xc3\xa9") for _ in range(r.randint(1, 60)))
+        assert tuple(bpe.encode(data)) == bpe.tokens(bpe.table(data))
+    for data in (b"a" * 3000, b"ab" * 3000):
+        assert tuple(bpe.encode(data)) == bpe.tokens(bpe.table(data))
+    own = op7_prefix_bpe.PrefixEncoder(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    seen = []
+    monkeypatch.setattr(own.bpe, "table", None)
+    monkeypatch.setattr(own.bpe, "encode", lambda data, f=own.bpe.encode: seen.append(data) or f(data))
+    own.encode(pa.array(["qxzvu, qxzvu. qxzvu!"]))
+    assert len(seen) == len(set(seen)) == 5
