@@ -70,14 +70,20 @@ def sliding_min(values: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (size - have)], values[size - have :]) if size > have else values
 
 
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "replace").split()
+
+
 class Segment:
-    """The words of some documents, their windows, and the windows' fingerprints."""
+    """The words of some documents by their hashes, their windows, and the windows' fingerprints. Words themselves are made for one
+    document at a time, as they take several times the text's bytes."""
 
     def __init__(self, ids: list[int | None], texts: list[str | None]):
-        self.words = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        self.ends = np.cumsum([0] + [len(w) for w in self.words])
+        self.texts = texts
+        hashes = [b"".join(map(xxh3_128_digest, words_of(t))) for t in texts]
+        self.ends = np.cumsum([0] + [len(h) // 16 for h in hashes])
         self.ids = np.array([LAST if i is None else i for i in ids], np.int64)
-        lanes = np.frombuffer(b"".join([xxh3_128_digest(w) for ws in self.words for w in ws]), "<u8").reshape(-1, 2)
+        lanes = np.frombuffer(b"".join(hashes), "<u8").reshape(-1, 2)
         self.lanes = [np.ascontiguousarray(lanes[:, 0]), np.ascontiguousarray(lanes[:, 1])]
         n = max(0, len(lanes) - WINDOW + 1)
         owner = np.repeat(np.arange(len(texts)), np.diff(self.ends))
@@ -413,7 +419,7 @@ class Index:
                 np.add.at(gone, starts + WINDOW, -1)
                 gone = np.cumsum(gone[:-1]) > 0
                 kept, removed = [], []
-                for d, words in enumerate(segment.words):
+                for d, words in enumerate(map(words_of, segment.texts)):
                     own = gone[segment.ends[d] : segment.ends[d + 1]]
                     removed.append(int(own.sum()))
                     kept.append((b" ".join([w for w, g in zip(words, own.tolist(), strict=True) if not g]) if removed[-1] else b" ".join(words)).decode("utf-8"))

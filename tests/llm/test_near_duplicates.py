@@ -484,3 +484,17 @@ def test_sliding_min_and_narrow_numbers():
     for values in ([], [5], [-3, 252], [0, 70_000], [-(1 << 62), 1 << 62]):
         v = np.array(values, np.int64)
         assert op10_substring_lsm.widen(op10_substring_lsm.narrow(v), len(v)).tolist() == values
+
+
+def test_op10_segments_hold_no_words():
+    """What a segment takes while it is made, and then holds, beside its texts' bytes: hashes, but no Python object for each word."""
+    import tracemalloc
+
+    texts = [" ".join(f"word{i * 7919 % 5003}" for i in range(k, k + 500)) for k in range(0, 100_000, 500)]
+    tracemalloc.start()
+    try:
+        segment = op10_substring_lsm.Segment(list(range(len(texts))), texts)
+        held, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert int(segment.ends[-1]) == 100_000 and held < 7 * sum(map(len, texts)) and peak < 15 * sum(map(len, texts))
