@@ -302,7 +302,7 @@ class Index:
                 parts = bucketed(hashes, buckets)
                 yield pa.record_batch([pa.array([b for b, _ in parts], pa.int32()), *(pa.array([row[k]] * len(parts), pa.int64()) for k in ("part", "segment")), pa.array([hashes[w].tobytes() for _, w in parts], pa.binary()), pa.array([bits(several[w]) for _, w in parts], pa.binary())], names=["bucket", "part", "segment", "hashes", "several"])
 
-        self._write_bucketed(batches(segments, rows, RUN), name, buckets)
+        self._write_bucketed(batches(segments, rows, RUN, slim=True), name, buckets)
 
     def _write_bucketed(self, run: DataFrame, name: str, buckets: int) -> None:
         self._write(run.repartition(buckets, "bucket").sortWithinPartitions("bucket", "part", "segment"), f"{self._runs_in(buckets)}/run={name}", "bucket", buckets)
@@ -400,11 +400,11 @@ class Index:
                 yield pa.record_batch([pa.array([b for b, _ in parts], pa.int32()), *(pa.array([row[k]] * len(parts), pa.int64()) for k in ("part", "segment")), *(pa.array([x[p].tobytes() for _, p in parts], pa.binary()) for x in (w.w0, w.w1)), pa.array([narrow(w.least[p]) for _, p in parts], pa.binary())], names=["bucket", "part", "segment", "w0", "w1", "least"])
 
         segments = self._segments(state["batches"][-1]).select("part", "segment", "rows")
-        candidates = batches(told(segments, shared, "shared", "inner").select("part", "segment", "rows", "shared"), probe, WINDOWS)
+        candidates = batches(told(segments, shared, "shared", "inner").select("part", "segment", "rows", "shared"), probe, WINDOWS, slim=True)
         earlier = shared.filter(F.col("part") < first)
         if parts := [r[0] for r in earlier.select("part").collect()]:  # one number for each file that earlier batches left
             texts = self.spark.read.schema(SEGMENT).parquet(*self._files(parts)).select("part", "segment", "rows")
-            candidates = candidates.unionByName(batches(told(texts, earlier, "shared", "inner").filter(F.size("shared") > 0).select("part", "segment", "rows", "shared"), probe, WINDOWS))
+            candidates = candidates.unionByName(batches(told(texts, earlier, "shared", "inner").filter(F.size("shared") > 0).select("part", "segment", "rows", "shared"), probe, WINDOWS, slim=True))
         repeats = together(candidates.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(verify(first), BITS), "repeats")
         done = told(told(segments, shared, "shared", "left"), repeats, "repeats", "left")
         names = docs.columns
@@ -427,7 +427,7 @@ class Index:
                 yield from unpacked(row["rows"]).append_column("n_words", pa.array(counts, pa.int64())).append_column("n_removed", pa.array(removed, pa.int64())).append_column("kept", pa.array(kept, pa.string())).cast(kinds).to_batches(2000)
 
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_words long, n_removed long, kept string"
-        return batches(done.select("part", "segment", "rows", "shared", "repeats"), finish, schema)
+        return batches(done.select("part", "segment", "rows", "shared", "repeats"), finish, schema, slim=True)
 
 
 def one_by_one(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import batches, documents, kept, scratch, slices, texts
+from cairn.llm.common import batches, documents, kept, release, scratch, slices, texts
 from cairn.llm.tokens import encoder
 
 SEQUENCE, STEP = 2048, 8
@@ -31,6 +31,8 @@ FULL = 0.99
 RANKED, SUMMED = 250, 1_000
 #: How many pieces of at most sequence / 2 ** level a rest may be cut into: levels 0 to 3.
 LEVELS = 4
+#: Bytes of texts that are encoded together, as what a worker holds for them meanwhile is many times as much.
+ENCODED = 2 << 20
 DOCS = "doc long, doc_id long, n long, whole array<long>, rests array<array<long>>, ids binary"
 
 
@@ -155,14 +157,16 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, sequence:
 
         number = TaskContext.get().partitionId() << 33
         for full in it:
-            for batch in slices(full, 8 << 20):
+            for batch in slices(full, ENCODED):
                 ids = [x + end for x in encoder(tokenizer).encode(batch.column(1))]
                 crcs = list(map(sums, ids))
                 longs = pa.list_(pa.int64())
                 yield pa.record_batch([pa.array(range(number, number + len(ids)), pa.int64()), batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([w for w, _ in crcs], longs), pa.array([r for _, r in crcs], pa.list_(longs)), pa.array(ids, pa.binary())], names=["doc", "doc_id", "n", "whole", "rests", "ids"])
                 number += len(ids)
+                del ids, crcs
+                release()
 
-    batches(texts(docs), encode, DOCS, 2000).write.parquet(path)
+    batches(texts(docs), encode, DOCS, 1000, slim=True).write.parquet(path)
 
 
 def pieces_of(encoded: DataFrame, sequence: int, level: int, step: int) -> DataFrame:

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
@@ -55,6 +58,50 @@ def test_workers_let_go_between_tasks():
     assert tokens.encoder(P.path("byte_bpe_50k.json")) is not held
 
 
+def test_lean_workers_give_back_what_they_free():
+    """Blocks of growing sizes, each freed under a small one that stays, as they are between a task's batches."""
+    code = """
+import re, numpy as np, pyarrow as pa
+from cairn.llm import common
+def held():
+    return sum(map(int, re.findall(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+common.lean()
+pa.array(np.ones(9)).take(pa.array(np.arange(9)))
+before, stay = held(), []
+for mb in range(2, 26, 2):
+    large = [np.ones(mb << 17), pa.array(np.ones(mb << 17)).take(pa.array(np.arange(mb << 17)))]
+    stay.append(bytes(100_000))
+    del large
+print(held() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, check=True, cwd=Path(__file__).parents[2])
+    assert float(out.stdout) < 10
+
+
+def test_op9_encodes_few_bytes_together(monkeypatch, rows):
+    """However much a batch has, what is encoded together is bounded, and documents are numbered as if it were one."""
+    import pyspark
+
+    class Spy(Encoder):
+        def encode(self, texts):
+            sizes.append(texts.nbytes)
+            return super().encode(texts)
+
+    sizes, taken, own = [], [], Spy(P.path("word_bpe_49k.json"))
+    monkeypatch.setattr(op9_cutting_stock, "encoder", lambda path: own)
+    monkeypatch.setattr(op9_cutting_stock, "texts", lambda docs: docs)
+    monkeypatch.setattr(op9_cutting_stock, "batches", lambda df, encode, *a, **k: taken.append(encode))
+    monkeypatch.setattr(pyspark.TaskContext, "get", classmethod(lambda cls: type("Task", (), {"partitionId": lambda self: 3})()))
+    with pytest.raises(AttributeError):  # nothing is written here
+        op9_cutting_stock.write_ids(None, "", P.path("word_bpe_49k.json"), 1, 2048)
+    texts = [t or "" for _, t, _ in rows] * (1 + (9 << 20) // sum(len(t or "") for _, t, _ in rows))
+    full = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    out = pa.Table.from_batches(list(taken[0](iter([full]))))
+    assert sum(sizes) > 8 << 20 and max(sizes) < 3 << 20
+    assert out["doc"].to_pylist() == list(range(3 << 33, (3 << 33) + len(texts))) and out["doc_id"].to_pylist() == list(range(len(texts)))
+    assert out["ids"].to_pylist() == [x + b"\1\0\0\0" for x in Encoder(P.path("word_bpe_49k.json")).encode(pa.array(texts))]
+
+
 @pytest.mark.parametrize("width", [1, 3, 7, 8, 13, 16, 17, 20, 31, 32])
 def test_pack_round_trip_and_random_access(width):
     r = np.random.default_rng(width)
