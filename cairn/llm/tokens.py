@@ -23,12 +23,16 @@ from cairn.llm.common import LET_GO
 #: White space as the Unicode property White_Space has it (fixed values); Python's \s also has U+001C to U+001F.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WHITES = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{WHITE}]", c))
+#: Those of ASCII, and the last two and three bytes (as numbers) of the others in UTF-8.
+WHITE_1, WHITE_2, WHITE_3 = (np.array(sorted(int.from_bytes(c.encode()) for c in WHITES if len(c.encode()) == n)) for n in (1, 2, 3))
 STRETCH = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: Bytes that a worker remembers before it lets go of what its last batch did not have, what a stretch takes beside its text
 #: and ids, and the longest that is remembered.
 KEPT, BESIDE, LONGEST = 80 << 20, 200, 64
 #: New stretches that go to the library in one text; it takes a third longer over a stretch where there are a thousand.
 TOGETHER = 200
+#: Stretches that are asked about together.
+ASKED = 500
 
 
 class Remembering:
@@ -49,7 +53,7 @@ class Remembering:
         return texts
 
     def unsafe(self, stretch: str) -> bool:
-        """Whether a folded stretch may encode otherwise than the text's own."""
+        """Whether a folded stretch, or any of several with "\\0" between them, may encode otherwise than the text's own."""
         return False
 
     def whole(self, texts: pa.Array) -> pa.Array | None:
@@ -60,17 +64,22 @@ class Remembering:
         raise NotImplementedError
 
     def _odd(self, parts: pa.Array, met: list[str]) -> np.ndarray:
-        """Which of `parts` (`met`, as an array) end in white space, or may not be folded. Most end in a byte of ASCII that is
-        no white space, which is seen from the bytes of all of them at once."""
+        """Which of `parts` (`met`, as an array) end in white space, or may not be folded, as seen from the bytes of all of them
+        at once; those that are not ASCII are asked about many together, as very few may not be folded."""
         ends = np.frombuffer(parts.buffers()[1], np.int32, len(parts) + 1, 4 * parts.offset)
         data = np.frombuffer(parts.buffers()[2] or b"", np.uint8)
         odd = ends[1:] > ends[:-1]
-        last = data[ends[1:][odd] - 1]
-        odd[odd] = (last <= 32) | (last >= 128)
-        for i in np.flatnonzero(odd).tolist():
-            odd[i] = met[i][-1:] in WHITES
-        for i in np.flatnonzero(~pc.string_is_ascii(parts).to_numpy(zero_copy_only=False)).tolist():
-            odd[i] |= self.unsafe(met[i])
+        at = ends[1:][odd] - 1
+        white, wide = np.isin(data[at], WHITE_1), np.flatnonzero(data[at] >= 128)
+        two = data[at[wide] - 1].astype(np.int32) << 8 | data[at[wide]]
+        white[wide] = np.isin(two, WHITE_2) | np.isin(data[at[wide] - 2].astype(np.int32) << 16 | two, WHITE_3)
+        odd[odd] = white
+        others = np.flatnonzero(~pc.string_is_ascii(parts).to_numpy(zero_copy_only=False)).tolist()
+        for first in range(0, len(others), ASKED):
+            some = others[first : first + ASKED]
+            if self.unsafe("\0".join(map(met.__getitem__, some))):
+                for i in some:
+                    odd[i] |= self.unsafe(met[i])
         return odd
 
     def _meet(self, met: list[str]) -> list[bytes]:
@@ -79,7 +88,7 @@ class Remembering:
             held, self.known, self.size = self.known, {}, 0
             self._remember({s: held[s] for s in met if s in held})
         ids = list(map(self.known.get, met))
-        if new := {s: i for i, (s, x) in enumerate(zip(met, ids, strict=True)) if x is None}:
+        if new := {met[i]: i for i, x in enumerate(ids) if x is None}:
             learned = self.learn(new.keys())
             for s, x in learned.items():
                 ids[new[s]] = x
@@ -97,7 +106,9 @@ class Remembering:
         marked = pc.replace_substring(pc.replace_substring(self.folded(texts), " ", "\0 "), "\n", "\0\n")
         parts = pc.split_pattern(marked, "\0")
         ends, numbered = parts.offsets.to_numpy() - parts.offsets[0].as_py(), parts.flatten().dictionary_encode()
-        codes, met = numbered.indices, numbered.dictionary.to_pylist()
+        codes = numbered.indices
+        # no part has the mark in it, so all are made Python's by one split
+        met = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(numbered.dictionary)], pa.int32()), numbered.dictionary), "\0")[0].as_py().split("\0") if len(codes) else []
         odd = self._odd(numbered.dictionary, met)
         found = pa.array(self._meet(met), pa.large_binary()).take(codes)  # one after the other in one buffer
         (_, at, data), codes = found.buffers(), codes.to_numpy()
@@ -147,11 +158,14 @@ class Encoder(Remembering):
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _sizes(self, new: list[str]) -> list[int]:
-        """Bytes of each stretch as the library normalises it."""
-        if self.drops_white:
-            new = [s[1:] if s.isascii() else unicodedata.normalize("NFC", s[1:]).lower() for s in new]
-        return [len(s) if s.isascii() else len(s.encode()) for s in new]
+    def _borders(self, joined: str) -> np.ndarray:
+        """Where each of the stretches that are joined ends, in bytes as the library normalises them: white space, which only
+        begins a stretch here, neither combines nor changes what stands beside it."""
+        if self.drops_white and not joined.isascii():
+            joined = unicodedata.normalize("NFC", joined).lower()
+        data = np.frombuffer(joined.encode(), np.uint8)
+        starts = np.flatnonzero((data == 32) | (data == 10))
+        return np.append(starts[1:], len(data)) - (np.arange(1, len(starts) + 1) if self.drops_white else 0)
 
     def _alone(self, new: list[str]) -> dict[str, bytes]:
         found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
@@ -159,10 +173,11 @@ class Encoder(Remembering):
 
     def _together(self, new: list[str]) -> dict[str, bytes]:
         """As _alone, for stretches of one white character and what follows it; the library encodes them as one text, which is then cut by the bytes that tokens stand for."""
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(new)], add_special_tokens=False)[0].ids, "<u4")
-        ends, borders = np.cumsum(self.spans[ids]), np.cumsum(self._sizes(new))
+        joined = "".join(new)
+        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+        ends, borders = np.cumsum(self.spans[ids]), self._borders(joined)
         cuts = np.searchsorted(ends, borders)
-        if not len(ids) or cuts[-1] != len(ids) - 1 or not np.array_equal(ends[cuts], borders):
+        if not len(ids) or len(cuts) != len(new) or cuts[-1] != len(ids) - 1 or not np.array_equal(ends[cuts], borders):
             return self._alone(new)
         raw, cuts = ids.tobytes(), (4 * cuts + 4).tolist()
         return {s: raw[a:b] for s, a, b in zip(new, [0, *cuts], cuts, strict=False)}

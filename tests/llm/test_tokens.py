@@ -6,6 +6,7 @@ import hashlib
 import random
 import subprocess
 import sys
+import unicodedata
 import zlib
 from pathlib import Path
 
@@ -146,6 +147,36 @@ def test_parts_that_end_in_white_space():
     assert e._odd(pa.array(["q ", *met]).slice(1), met).tolist() == want and e._odd(pa.array([], pa.string()), []).tolist() == []
 
 
+def test_many_stretches_are_asked_about_together(monkeypatch):
+    """Those that are not ASCII are not asked about one by one, and stretches are sized all at once, as each by itself."""
+    e, asked = tokens.Encoder(P.path("word_bpe_49k.json")), []
+    unsafe = e.unsafe
+    monkeypatch.setattr(e, "unsafe", lambda s: asked.append(s) or unsafe(s))
+    met = [f"é{i}" for i in range(3000)]
+    assert not e._odd(pa.array(met), met).any() and len(asked) <= 10
+    met[1234] += "e\u0301"
+    assert np.flatnonzero(e._odd(pa.array(met), met)).tolist() == [1234]
+    for own in (e, tokens.Encoder(P.path("byte_bpe_50k.json"))):
+        new = [" a", " É\u0301", "\nİΣ", " ΑΣ", " \U0001f600", " \u0301x", " \x1c", "\nﬁK"] if own is not e else [" a", " É\u0301", " İΣ", " ΑΣ", " \U0001f600", " \u0301x", " \x1c", " ﬁK"]
+        alone = [unicodedata.normalize("NFC", s[1:]).lower() if own is e else s for s in new]
+        assert own._borders("".join(new)).tolist() == np.cumsum([len(s.encode()) for s in alone]).tolist()
+
+
+def test_op9_workers_give_back_after_several_lots(monkeypatch, rows):
+    import pyspark
+
+    taken, slim, released = [], [], []
+    monkeypatch.setattr(op9_cutting_stock, "release", lambda: released.append(1))
+    monkeypatch.setattr(op9_cutting_stock, "texts", lambda docs: docs)
+    monkeypatch.setattr(op9_cutting_stock, "batches", lambda df, encode, *a, **k: taken.append(encode) or slim.append(k.get("slim")))
+    monkeypatch.setattr(pyspark.TaskContext, "get", classmethod(lambda cls: type("Task", (), {"partitionId": lambda self: 0})()))
+    with pytest.raises(AttributeError):  # nothing is written here
+        op9_cutting_stock.write_ids(None, "", P.path("word_bpe_49k.json"), 1, 2048)
+    texts = [t or "" for _, t, _ in rows] * (1 + (9 << 20) // sum(len(t or "") for _, t, _ in rows))
+    lots = len(list(taken[0](iter([pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])]))))
+    assert lots >= 4 and len(released) == lots // op9_cutting_stock.LOTS and not slim[0]
+
+
 def expected_op2(values):
     encode, at, out = library("byte_bpe_50k.json"), 0, []
     for i, t in sorted(((i, t or "") for i, t, _ in values), key=lambda x: (x[0] is not None, x)):
