@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import random
 import re
@@ -16,7 +17,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from cairn.llm import op1_pii, op3_warc_revisits, op4_simhash_gph, op6_byte_cnn, op8_audio
+from cairn.llm import common, op1_pii, op3_warc_revisits, op4_simhash_gph, op6_byte_cnn, op8_audio
 from cairn.llm.queries import ORACLE_SQL, QUERIES
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -620,3 +621,38 @@ def test_stages_on_odd_rows(spark, odd):
 
 def test_all_ten_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_stages_begin_with_executors_giving_back_memory(monkeypatch):
+    class Settled(Exception):
+        pass
+
+    def settle(spark):
+        raise Settled
+
+    monkeypatch.setattr(corpus_pipeline, "settle", settle)
+    for _, stage in corpus_pipeline.STAGES:
+        with pytest.raises(Settled):
+            stage(None, None, "")
+
+
+def test_settling_gives_back_heap(spark):
+    """Heap that garbage has grown goes back to the system."""
+    jvm = spark.sparkContext._jvm
+    heap = lambda: jvm.java.lang.Runtime.getRuntime().totalMemory() >> 20
+    arrays = [jvm.java.nio.ByteBuffer.allocate(100 << 20) for _ in range(12)]
+    grown = heap()
+    del arrays
+    gc.collect()
+    common.settle(spark)
+    assert grown >= 1200 and heap() < grown - 300
+
+
+def test_settling_again_soon_does_nothing(spark):
+    common.SETTLED.pop(spark.sparkContext, None)
+    common.settle(spark, 3600)
+    first = common.SETTLED[spark.sparkContext]
+    common.settle(spark, 3600)
+    assert common.SETTLED[spark.sparkContext] == first
+    common.settle(spark)
+    assert common.SETTLED[spark.sparkContext] > first
