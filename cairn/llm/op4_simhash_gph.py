@@ -264,17 +264,22 @@ def with_least(edges: DataFrame, salts: int) -> DataFrame:
     return salted.join(parts.select("a", "salt").join(least, "a"), ["a", "salt"]).select("a", "b", "m")
 
 
+def each_edge(*edges: tuple[Column | str, Column | str]) -> Column:
+    """A row (a, b) for each of `edges`; a union would plan all that stands before it once for each."""
+    return F.inline(F.array(*(F.struct((F.col(a) if isinstance(a, str) else a).alias("a"), (F.col(b) if isinstance(b, str) else b).alias("b")) for a, b in edges)))
+
+
 def components(edges: DataFrame, name: str = "star") -> DataFrame:
     """(node, root) for each node of `edges` (a, b): root is the smallest node that can be reached. Alternates large stars
-    (each node's larger neighbours go to its smallest one) and small stars (so do the smaller ones) until nothing moves."""
+    (each node's larger neighbours go to its smallest one) and small stars (so do the smaller ones) until nothing moves.
+    Both are written: the driver holds a step's plan many times over, and that of the two together is several times as long."""
     edges = kept(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     salts = max(16, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     state = None
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = edges.select(each_edge(("a", "b"), ("b", "a")))
         large = with_least(both, salts).filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
-        small = with_least(large, salts).select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"), F.col("a").alias("own"), "m")
-        small = small.select("a", "b").unionByName(small.select(F.col("own").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct()
+        small = with_least(kept(large, name), salts).select(each_edge((F.greatest("b", "m"), F.least("b", "m")), ("a", "m"))).filter("a <> b").distinct()
         edges = kept(small, name)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:

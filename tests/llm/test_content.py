@@ -6,6 +6,7 @@ import gc
 import hashlib
 import random
 import re
+import weakref
 import zlib
 
 import duckdb
@@ -648,6 +649,25 @@ def test_settling_gives_back_heap(spark):
     assert grown >= 1200 and heap() < grown - 300
 
 
+def test_settling_collects_the_drivers_garbage(spark):
+    """What only Python's garbage still holds is let go on the driver, and its free native memory goes back to the system."""
+
+    class Plan:
+        pass
+
+    gc.disable()
+    try:
+        plan = Plan()
+        plan.own, gone = plan, weakref.ref(plan)
+        del plan
+        assert gone()
+        common.settle(spark)
+        assert not gone()
+    finally:
+        gc.enable()
+    assert "trim" in common.trimmed(spark).lower()
+
+
 def test_settling_again_soon_does_nothing(spark):
     common.SETTLED.pop(spark.sparkContext, None)
     common.settle(spark, 3600)

@@ -251,6 +251,21 @@ def test_components_of_chains(spark):
     assert got == {**dict.fromkeys(range(61), 0), **dict.fromkeys(range(100, 108), 100), 200: 200, 201: 200}
 
 
+def test_steps_to_components_have_short_plans(spark, monkeypatch):
+    """The driver holds each step's plan many times over, so no step plans what stands before it again and again."""
+    plans = []
+
+    def kept(df, *a):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+        return common.kept(df, *a)
+
+    monkeypatch.setattr(op4_simhash_gph, "kept", kept)
+    edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 160)] + [(7, 7)]
+    got = {r.node: r.root for r in op4_simhash_gph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {x: 100 for x in range(100, 160)}
+    assert len(plans) > 3 and 1 <= max(plans) <= 3
+
+
 def test_components_of_a_hub(spark):
     """A node with most of the edges: no key of the star steps meets more than a salt's share of them."""
     edges = [(5000 + i, 7) for i in range(3000)] + [(i, 9000) for i in range(10, 40)] + [(7000, 8)]
